@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
