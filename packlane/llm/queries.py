@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, token_ids
 
 QUERIES = {
+    "op1_token_ids": token_ids.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
