@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_ids
+from . import exact_dedup, mixing, quality, token_ids
 
 QUERIES = {
+    "op8_quality": quality.op8_quality,
     "op1_token_ids": token_ids.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
