@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, token_ids
+from . import exact_dedup, language, mixing, quality, token_ids
 
 QUERIES = {
+    "op3_language": language.op3_language,
     "op8_quality": quality.op8_quality,
     "op1_token_ids": token_ids.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
