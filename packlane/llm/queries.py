@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, quality, token_ids
+from . import exact_dedup, language, license_scan, mixing, quality, token_ids
 
 QUERIES = {
+    "op9_license_scan": license_scan.op9_license_scan,
     "op3_language": language.op3_language,
     "op8_quality": quality.op8_quality,
     "op1_token_ids": token_ids.op1_token_ids,
