@@ -84,7 +84,7 @@ def put_file(uri: str, name: str, tag: str, write) -> None:
     where, path = open_fs(uri)
     where.create_dir(path, recursive=True)
     tmp = f"{path}/.{name}.{tag}.{uuid.uuid4().hex[:8]}"
-    with where.open_output_stream(tmp) as out:
+    with where.open_output_stream(tmp, compression=None) as out:
         write(out)
     where.move(tmp, f"{path}/{name}")
 

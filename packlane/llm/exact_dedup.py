@@ -202,7 +202,7 @@ def _own(uri: str, bits: int) -> Callable[[pa.Table], pa.Table]:
         name = f"owner-{group['owner'][0].as_py():08d}.exh"
         common.put_file(uri, name, str(TaskContext.get().taskAttemptId()), lambda out: index.save(out, [k for k, _ in keep], total))
         where, path = common.open_fs(uri)
-        with where.open_input_stream(f"{path}/{name}") as f:
+        with where.open_input_stream(f"{path}/{name}", compression=None) as f:
             saved = IndexFile(f.read())
         answer = {s[1]: s for key in set(keys) for s in saved.find(key)}
         sha = [hashlib.sha256(text[i].as_py()).hexdigest() for i in first]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, license_scan, mixing, quality, token_ids
+from . import exact_dedup, language, license_scan, mixing, quality, token_ids, warc
 
 QUERIES = {
+    "op7_warc": warc.op7_warc,
     "op9_license_scan": license_scan.op9_license_scan,
     "op3_language": language.op3_language,
     "op8_quality": quality.op8_quality,

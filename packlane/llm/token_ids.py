@@ -273,7 +273,7 @@ def _read(uri: str) -> Callable:
         for batch in rows:
             for shard in batch.to_pylist():
                 at, out = shard["base"], []
-                with where.open_input_stream(f"{path}/{shard['name']}") as f:
+                with where.open_input_stream(f"{path}/{shard['name']}", compression=None) as f:
                     for doc_id, ids in read_shard(f):
                         out.append((doc_id, at, len(ids), ids.astype("<u4").tobytes()))
                         at += len(ids)
