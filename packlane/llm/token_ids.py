@@ -31,6 +31,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ from . import common
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: Pieces whose ids a worker keeps; the cache is emptied beyond it.
-CACHE = 500_000
+CACHE = 1_000_000
 #: Tokens in a block, about.
 BLOCK = 1 << 18
 #: Tokens in a shard, about.
@@ -67,6 +68,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Bytes of u16 or u32 ids of a text, by a cache over its pieces."""
 
@@ -88,7 +93,7 @@ class Encoder:
         if got is None:
             if len(self.cores) > CACHE:
                 self.cores.clear()
-            got = self.cores[core] = np.array([t.id for t in self.model.tokenize(core)], "<u4").tobytes()
+            got = self.cores[core] = _packed([t.id for t in self.model.tokenize(core)])
         return got
 
     def _piece(self, raw: bytes) -> bytes:
@@ -99,11 +104,11 @@ class Encoder:
                 return b"".join(map(self._core, _ASCII.findall(text.lower())))
         elif text.isalpha() and max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text):
             return self._core("".join(map(self.letters.__getitem__, text.lower().encode())))
-        return np.array(self._ids(text), "<u4").tobytes()
+        return _packed(self._ids(text))
 
     def __call__(self, text: bytes) -> bytes:
         if self.whole:
-            return np.array(self._ids(text.decode()), "<u4").tobytes()
+            return _packed(self._ids(text.decode()))
         pieces, seen = text.split(), self.pieces
         try:
             return b"".join(map(seen.__getitem__, pieces))
