@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, license_scan, lm_score, mixing, quality, token_ids, warc
+from . import exact_dedup, language, license_scan, lm_score, mixing, near_dedup, quality, token_ids, warc
 
 QUERIES = {
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_lm_score": lm_score.op5_lm_score,
     "op7_warc": warc.op7_warc,
     "op9_license_scan": license_scan.op9_license_scan,
