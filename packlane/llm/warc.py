@@ -133,7 +133,8 @@ class Stream:
         self.plain += self.gz.decompress(self.packed, READ)
         self.packed = self.gz.unconsumed_tail
         if self.gz.eof:
-            self.packed, self.gz = self.gz.unused_data + self.packed, None
+            # the tail may repeat what is unused
+            self.packed, self.gz = self.gz.unused_data, None
         return True
 
     def until(self, mark: bytes, most: int) -> bytes | None:

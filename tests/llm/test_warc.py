@@ -67,3 +67,13 @@ def test_buffer_stays_small():
         stream.take(1000)
         most = max(most, len(stream.plain))
     assert most <= 4 * warc.READ
+
+
+def test_members_after_long_ones(monkeypatch):
+    monkeypatch.setattr(warc, "READ", 300)
+    payloads = [bytes(range(256)) * n + b"x" * n * 50 for n in (30, 1, 0, 40, 40, 2)]
+    data = b"".join(gzip.compress(warc.record(i, "u", p, None, False)) for i, p in enumerate(payloads))
+    got = {}
+    for r in warc.read_records(io.BytesIO(data), 1000):
+        got[r["page_id"]] = got.get(r["page_id"], b"") + r["bytes"]
+    assert [got[i] for i in range(len(payloads))] == payloads
