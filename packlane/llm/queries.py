@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, license_scan, lm_score, mixing, near_dedup, quality, token_ids, warc
+from . import decontaminate, exact_dedup, language, license_scan, lm_score, mixing, near_dedup, quality, token_ids, warc
 
 QUERIES = {
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_lm_score": lm_score.op5_lm_score,
     "op7_warc": warc.op7_warc,
