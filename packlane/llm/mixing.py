@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,9 +42,9 @@ class Mix:
     seed: str = "mix-1:"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *others: str) -> DataFrame:
     """doc_id, source, size, and the quality weight in [0.1, 1]: the share of letters in the text."""
-    d = common.pick(docs, "doc_id", "source", "text")
+    d = common.pick(docs, "doc_id", "source", "text", *others)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return d.select(
@@ -52,6 +52,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.greatest(F.lit(0.1), letters / F.greatest(F.length(text), F.lit(1))).alias("weight"),
+        *others,
     )
 
 
@@ -77,11 +78,22 @@ def targets(per_source: DataFrame, mix: Mix) -> DataFrame:
     return s.select("source", "source_size", F.least("most", F.col("w") * free).alias("target"))
 
 
-def take(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row."""
-    rows = sizes(common.prepare(docs.sparkSession) and docs)
-    u = common.hash01("doc_id", mix.seed)
-    rows = common.table(rows.withColumn("draw", -F.log(u) / F.col("weight")), "mix-keys")
+def _key() -> Column:
+    return F.struct("draw", "doc_id", "size")
+
+
+def keyed(docs: DataFrame, mix: Mix, *others: str) -> DataFrame:
+    """doc_id, source, size and the sampling key of every row, and other columns as they are."""
+    return sizes(docs, *others).withColumn("draw", -F.log(common.hash01("doc_id", mix.seed)) / F.col("weight")).drop("weight")
+
+
+def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
+    """A row for each source: what decides how often a document with a given key is taken.
+
+    source, source_size, target, full (complete epochs), miss (the first key
+    that the prefix leaves out; null if it takes all or has no budget),
+    some (whether a part is taken at all), closing (the key that fills the gap).
+    """
     n = rows.count()
     # equal shares of the keys if all weights were alike; monotone in the key, so slices keep its order
     slices = max(64, n // SLICE_ROWS)
@@ -89,43 +101,57 @@ def take(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     per_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     per_source = per_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
-    plan = common.table(
-        targets(per_source, mix).select(
-            "source", "source_size", "target",
-            F.when(F.col("source_size") > 0, F.least(F.lit(mix.epochs), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long").alias("full"),
-        ).withColumn("left", F.col("target") - F.col("full") * F.col("source_size")),
-        "mix-plan",
-    )
+    full = F.when(F.col("source_size") > 0, F.least(F.lit(mix.epochs), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
+    plan = targets(per_source, mix).select("source", "source_size", "target", full.alias("full"))
+    plan = common.table(plan.withColumn("left", F.col("target") - F.col("full") * F.col("source_size")), "mix-plan")
 
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_slice.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
+    # the slice in which the budget ends; slices of size 0 hold no end
     ends = common.join_small(starts, plan.select("source", "left"), "source").where((F.col("start") <= F.col("left")) & (F.col("left") < F.col("start") + F.col("slice_size")))
-    ends = ends.groupBy("source").agg(F.min(F.struct("slice", "start")).alias("end")).select("source", F.col("end.slice").alias("end_slice"), F.col("end.start").alias("end_start"))
-    plan = common.table(plan.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-ends")
-
-    dealt = common.join_small(rows, plan, "source")
-    last = dealt.where(F.col("slice") == F.col("end_slice"))
-    order = Window.partitionBy("source").orderBy("draw", "doc_id", "size")
-    last = last.withColumn("upto", F.col("end_start") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # what the prefix takes ends where the next document would pass the budget
+    ends = common.table(ends.select("source", F.col("slice").alias("end_slice"), F.col("start").alias("end_start"), "left"), "mix-ends")
+
+    last = common.join_small(rows, ends, "source", "inner").where(F.col("slice") == F.col("end_slice"))
+    order = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("upto", F.col("end_start") + F.sum("size").over(order))
     cut = last.groupBy("source").agg(
-        F.max(F.when(F.col("upto") <= F.col("left"), F.struct("upto", "draw", "doc_id", "size"))).alias("hit"),
-        F.min(F.when(F.col("upto") > F.col("left"), F.struct("draw", "doc_id", "size"))).alias("miss"),
-        F.first("left").alias("left"), F.first("end_start").alias("end_start"),
-    )
-    cut = common.table(cut.select("source", "miss", (F.col("left") - F.coalesce(F.col("hit.upto"), F.col("end_start"))).alias("gap")), "mix-cut")
-    dealt = common.join_small(dealt, cut.withColumn("here", F.lit(True)), "source")
-    key = F.struct("draw", "doc_id", "size")
-    inside = F.coalesce(F.when(F.col("here"), F.coalesce(key < F.col("miss"), F.lit(False))).otherwise(F.lit(False)), F.lit(False)) & (F.col("slice") <= F.col("end_slice"))
-    dealt = dealt.withColumn("inside", inside)
-    # the closing document of each source: nearest in size to the gap, if taking it helps
+        F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("hit"),
+        F.min(F.when(F.col("upto") > F.col("left"), _key())).alias("miss"),
+        F.first("left").alias("left"),
+        F.first("end_start").alias("end_start"),
+    )
+    cut = common.table(cut.select("source", "miss", (F.col("left") - F.coalesce("hit", "end_start")).alias("gap")), "mix-cut")
+
+    # the document that closes the gap: nearest to it in size, if taking it helps
     off = F.abs(F.col("size") - F.col("gap"))
-    near = dealt.where(~F.col("inside") & F.col("here") & (F.col("size") > 0) & (off < F.col("gap")))
-    near = near.groupBy("source").agg(F.min(F.struct(off.alias("off"), *[F.col(c) for c in ("draw", "doc_id", "size")])).alias("near"))
-    near = common.table(near.select("source", F.struct("near.draw", "near.doc_id", "near.size").alias("closing")), "mix-closing")
-    dealt = common.join_small(dealt, near, "source")
-    copies = F.col("full") + (F.col("inside") | F.coalesce(key.eqNullSafe(F.col("closing")) & F.col("closing").isNotNull(), F.lit(False))).cast("long")
-    return dealt.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    near = common.join_small(rows, cut, "source", "inner").where((_key() >= F.col("miss")) & (F.col("size") > 0) & (off < F.col("gap")))
+    near = near.groupBy("source").agg(F.min(F.struct(off.alias("off"), _key().alias("key"))).alias("near")).select(F.col("source").alias("s"), F.col("near.key").alias("closing"))
+    end = cut.join(near, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("e"), "miss", "closing")
+    return common.table(plan.join(end, F.col("source").eqNullSafe(F.col("e")), "left").select("source", "source_size", "target", "full", (F.col("left") > 0).alias("some"), "miss", "closing"), "mix-budgets")
+
+
+def _copies() -> Column:
+    key = _key()
+    part = (F.col("some") & F.coalesce(key < F.col("miss"), F.lit(False))) | F.coalesce(key == F.col("closing"), F.lit(False))
+    return F.col("full") + part.cast("long")
+
+
+def take(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row."""
+    common.prepare(docs.sparkSession)
+    rows = common.table(keyed(docs, mix), "mix-keys")
+    dealt = common.join_small(rows, budgets(rows, mix), "source").withColumn("copies", _copies())
+    return dealt.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it."""
+    common.prepare(docs.sparkSession)
+    plan = budgets(common.table(keyed(docs, mix), "mix-keys"), mix)
+    # texts stay where they are: keys are computed again beside them
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    dealt = common.join_small(keyed(docs.select("doc_id", "source", "text", own), mix, "row"), plan, "source")
+    return dealt.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

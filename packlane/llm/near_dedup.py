@@ -287,5 +287,14 @@ def _named(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "fp binary, shingles array<long>").select(F.xxhash64("fp").alias("rep"), "shingles").dropDuplicates(["rep"])
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, that their groups keep: one of each group, and all without a doc_id."""
+    kept = near_duplicates(docs, percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
+    # a doc_id that is repeated is one group: its first text stays
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return rows.withColumn("__first", first).where("__first = 1").drop("__first").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))

@@ -69,3 +69,14 @@ def test_keys_decide_within_a_source(spark):
 
 def test_empty(spark):
     assert mixing.take(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_mixed_repeats_rows(spark):
+    df = spark.createDataFrame([(*r, "clash", 1.5) for r in HOT], "doc_id long, source string, text string, target string, draw double")
+    copies = {r.doc_id: r.copies for r in mixing.take(df).collect()}
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    seen = defaultdict(int)
+    for r in out.collect():
+        seen[r.doc_id] += 1
+    assert seen == {d: n for d, n in copies.items() if n}

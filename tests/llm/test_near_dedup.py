@@ -115,3 +115,12 @@ def test_early_stop_is_exact():
     parts = [near_dedup.super_minhash(e[i : i + 1], np.array([0, 1]), 32) for i in range(900)]
     assert np.array_equal(whole[0], np.min(np.concatenate(parts), axis=0))
     assert common.mix64(np.arange(3, dtype=np.uint64)).dtype == np.uint64
+
+
+def test_keep_one(spark):
+    df = spark.createDataFrame([(*r, "x") for r in made(3) + ODD], "doc_id long, text string, fp string")
+    want = sorted({d for d, _, _, kept in by_hand(made(3) + ODD) if kept and d is not None})
+    got = near_dedup.keep_one(df)
+    assert got.columns == df.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert sorted(d for d in ids if d is not None) == want and ids.count(None) == 2
