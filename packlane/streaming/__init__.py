@@ -1 +1 @@
-
+"""Stateless ingestion of new packages."""
