@@ -7,13 +7,15 @@ variance), and a set stops as soon as no further step can lower a register.
 Equal bands of registers make candidates, which are confirmed on full sets.
 
 Scale and skew. Equal sets collapse into one representative before anything
-else. In a bucket, every member is compared with the smallest one (a star, not
-all pairs), and the confirmed links are grouped. Only members of a bucket that
-are still in different groups are compared with each other, in a second round,
-and only if their sizes allow the similarity; so no link that shares a band is
-lost, and a bucket of near copies costs as many comparisons as it has members.
-With ROWS rows in each of BANDS bands, a link at 0.85 has no band in common
-with a probability of 8e-7. Sets are fetched for candidates alone.
+else. In a bucket, every member is compared with PIVOTS members (stars, not all
+pairs), and the confirmed links are grouped. Only members of a bucket that are
+still in different groups are compared with each other, in a second round; so
+no link that shares a band is lost, and a bucket of near copies costs about as
+many comparisons as it has members. Both rounds leave out pairs whose sizes do
+not allow the similarity, or whose signatures (4 bits of each register) differ
+in more registers than a link would by 5.5 standard deviations. With ROWS rows
+in each of BANDS bands, a link at 0.85 has no band in common with a
+probability of 8e-7. Sets are fetched for candidates alone.
 
 Groups are joined by union-find: a task merges the links that it holds into
 trees, then rounds of smallest-neighbour steps shorten the trees over all
@@ -27,11 +29,12 @@ group of each text is joined to it. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,6 +42,8 @@ from . import common
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
+#: Members of a bucket that all others are compared with first.
+PIVOTS = 4
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -115,7 +120,31 @@ def _fingerprints(h: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])]
 
 
-SIGNED = "doc_id long, n_shingles long, fp binary, bands array<long>"
+def nibbles(signatures: np.ndarray) -> np.ndarray:
+    """4 bits of each register, 16 in a 64-bit number."""
+    bits = (common.mix64(np.ascontiguousarray(signatures).view(np.uint64)) & np.uint64(15)).reshape(len(signatures), -1)
+    room = np.zeros((len(bits), -(-bits.shape[1] // 16) * 16), np.uint64)
+    room[:, : bits.shape[1]] = bits
+    return np.bitwise_or.reduce(room.reshape(len(bits), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """Registers in which two columns of nibbles differ."""
+    total = None
+    for i in range(-(-REGISTERS // 16)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+        total = n if total is None else total + n
+    return total
+
+
+def allowed(percent: int) -> int:
+    q = 15 / 16 * (1 - percent / 100)
+    return math.ceil(REGISTERS * q + 5.5 * math.sqrt(REGISTERS * q * (1 - q)))
+
+
+SIGNED = "doc_id long, n_shingles long, fp binary, bands array<long>, sig array<long>"
 
 
 def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +160,16 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys: dict[bytes, object] = {}
             if new:
                 part = np.concatenate([h[starts[j] : starts[j + 1]] for j in new])
-                for j, k in zip(new, band_keys(super_minhash(part, np.concatenate([[0], np.cumsum(n[new])])))):
+                signatures = super_minhash(part, np.concatenate([[0], np.cumsum(n[new])]))
+                for j, *k in zip(new, band_keys(signatures), nibbles(signatures)):
                     keys[fps[j]] = k
             if len(seen) > 200_000:
                 seen.clear()
             # later rows of a set carry no bands: its first row in the task speaks for them
-            bands = [keys.pop(fps[j], None) if n[j] and ids[j] is not None else None for j in range(len(n))]
+            made = [keys.pop(fps[j], None) if n[j] and ids[j] is not None else None for j in range(len(n))]
+            both = [pa.array([m and m[i] for m in made], pa.list_(pa.int64())) for i in (0, 1)]
             seen.update((fps[j], True) for j in new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([f if c else None for f, c in zip(fps, n)], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [x.split()[0] for x in SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([f if c else None for f, c in zip(fps, n)], pa.binary()), *both], [x.split()[0] for x in SIGNED.split(", ")])
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +222,10 @@ def components(links: DataFrame) -> DataFrame:
         made = hung.unionByName(own).where("a > b").distinct().mapInArrow(_forest, "a long, b long").where("a > b").distinct()
         nxt = common.table(made, "dedup-forest")
         # done when each node hangs on one root, and no root hangs on another
-        roots = nxt.agg(F.count("*"), F.countDistinct("a")).first()
-        chains = nxt.select(F.col("b").alias("a")).join(nxt.select("a"), "a", "left_semi").limit(1).count()
+        roles = nxt.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("r")).select("r.*")
+        odd = roles.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)").limit(1).count()
         pairs = nxt
-        if roots[0] == roots[1] and not chains:
+        if not odd:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -227,15 +258,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = common.table(given.mapInArrow(_sign, SIGNED), "dedup-signed")
     named = signed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets have one representative: the smallest doc_id
-    reps = common.table(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "dedup-reps")
+    reps = common.table(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first(F.when(F.col("bands").isNotNull(), F.struct("bands", "sig")), ignorenulls=True).alias("s")).select("fp", "rep", "n", "s.bands", "s.sig"), "dedup-reps")
     # a doc_id that is repeated with other texts stands for several sets; the sets are told apart by a number
-    marked = reps.select("fp", "rep", "n", "bands", F.xxhash64("fp").alias("set"))
+    marked = reps.select("fp", "rep", "n", "bands", "sig", F.xxhash64("fp").alias("set"))
     buckets = marked.select("set", "n", F.explode("bands").alias("key"))
-    stars = buckets.groupBy("key").agg(F.min(F.struct("set", "n")).alias("low"), F.count("*").alias("members")).where("members > 1").select("key", F.col("low.set").alias("b"), F.col("low.n").alias("m"), "members")
-    crowded = common.table(buckets.join(stars, "key"), "dedup-buckets")
-    fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    first = crowded.where((F.col("set") != F.col("b")) & fits(F.col("n"), F.col("m"))).select(F.col("set").alias("a"), "b").distinct()
-    first = common.table(first, "dedup-pairs")
+    full = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    crowded = common.table(buckets.join(full, "key").join(marked.select("set", "sig"), "set"), "dedup-buckets")
+    fits = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")) & (differing("sig", "sog") <= allowed(percent))
+    # one pivot from each slot of a bucket, found with partial aggregation
+    slot = F.pmod(F.xxhash64("key", "set"), F.lit(PIVOTS))
+    stars = crowded.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("set", "n", "sig"), F.xxhash64("set", "key")).alias("p")).select(F.col("key").alias("k"), F.col("p.set").alias("b"), F.col("p.n").alias("m"), F.col("p.sig").alias("sog"))
+    first = crowded.join(stars, (F.col("key") == F.col("k")) & (F.col("set") != F.col("b")) & fits)
+    first = common.table(first.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct(), "dedup-pairs")
 
     some = crowded.select("set").distinct()
     wanted = marked.join(some, "set").select("fp", "set", "rep")
@@ -247,14 +281,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = common.table(_confirm(first, sets, percent), "dedup-links")
 
     group = components(links)
-    placed = crowded.join(group, crowded["set"] == group["node"], "left").select("key", "set", "n", F.coalesce("component", "set").alias("group"))
+    placed = crowded.join(group, crowded["set"] == group["node"], "left").select("key", "set", "n", "sig", F.coalesce("component", "set").alias("group"))
     split = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
     rest = placed.join(split, "key")
-    other = rest.select("key", F.col("set").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"))
-    second = rest.join(other, (rest["key"] == other["key"]) & (F.col("group") < F.col("other")) & fits(F.col("n"), F.col("m")))
+    other = rest.select(F.col("key").alias("k"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sog"), F.col("group").alias("other"))
+    second = rest.join(other, (F.col("key") == F.col("k")) & (F.col("group") < F.col("other")) & fits)
     second = second.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = common.table(second.join(done, ["a", "b"], "left_anti"), "dedup-pairs")
+    second = common.table(second.join(first, ["a", "b"], "left_anti"), "dedup-pairs")
     more = _confirm(second, sets, percent)
 
     # links between sets become links between documents: a set is a node beside its documents
