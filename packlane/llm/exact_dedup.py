@@ -34,6 +34,8 @@ WINDOW_BYTES, WINDOW_ROWS = 32 << 20, 200_000
 BUCKET = 64
 #: Normalised bytes that one owner should hold.
 OWNER_BYTES = 8 << 20
+#: A directory doubles so often at most; a bucket that is still overfull then stays so (keys are hashes: it takes very many equal heads).
+DEEPEST = 20
 SLOT = struct.Struct("<Qqqqq")  # key, record, chain, keep, rows
 NO_ID = (1 << 63) - 1
 
@@ -75,7 +77,7 @@ class ExtendibleHash:
         while True:
             b = self.directory[self._home(key)]
             bucket = self.buckets[b]
-            if key in bucket or len(bucket) < self.capacity or self.local[b] + self.shift >= 64:
+            if key in bucket or len(bucket) < self.capacity or self.local[b] >= min(DEEPEST, 64 - self.shift):
                 self.next.append(bucket.get(key, -1))
                 bucket[key] = record
                 return record
