@@ -160,6 +160,12 @@ class Stream:
         del self.plain[:most]
         return out
 
+    def exactly(self, size: int) -> bytes:
+        out = b""
+        while len(out) < size:
+            out += self.take(size - len(out))
+        return out
+
 
 def headers(block: bytes) -> dict[str, str]:
     pairs = (line.split(":", 1) for line in block.decode("utf-8", "replace").split("\r\n")[1:])
@@ -192,7 +198,7 @@ def read_records(raw, chunk: int = CHUNK) -> Iterator[dict]:
             number += 1
             if not left:
                 break
-        if stream.take(2) != b"\r\n" or stream.take(2) != b"\r\n":
+        if stream.exactly(4) != b"\r\n\r\n":
             raise DamagedArchive("a record does not end where its length says")
 
 

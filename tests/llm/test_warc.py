@@ -69,8 +69,9 @@ def test_buffer_stays_small():
     assert most <= 4 * warc.READ
 
 
-def test_members_after_long_ones(monkeypatch):
-    monkeypatch.setattr(warc, "READ", 300)
+@pytest.mark.parametrize("read", [1, 2, 3, 7, 300])
+def test_members_after_long_ones(monkeypatch, read):
+    monkeypatch.setattr(warc, "READ", read)
     payloads = [bytes(range(256)) * n + b"x" * n * 50 for n in (30, 1, 0, 40, 40, 2)]
     data = b"".join(gzip.compress(warc.record(i, "u", p, None, False)) for i, p in enumerate(payloads))
     got = {}
