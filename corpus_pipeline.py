@@ -2,16 +2,22 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns a DataFrame that is written as Parquet and reread as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. When a stage
+begins, what the one before it left in the shared folder is removed: its result
+has been written by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlane.llm import common, decontaminate, mixing, near_dedup, quality, token_ids
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 #: Near copies share 80 of 100 shingles of five words.
 PERCENT = 80
 
@@ -42,13 +48,24 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_ids.read(*token_ids.write(docs)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-STAGES = [
-    ("quality", good),
-    ("near_dedup", one_of_each),
-    ("decontaminate", without_benchmark),
-    ("mixing", mix),
-    ("token_ids", tokens),
-]
+_before: list = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage, after the tables of the one before it are removed; the first one leaves an earlier run's alone."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if stage is not good:
+            common.release(_before)
+        held = common.made()
+        out = stage(spark, docs, sf_dir)
+        _before[:] = [x for x in common.made() if x not in held]
+        return out
+
+    return run
+
+
+STAGES = [(name, _tidy(stage)) for name, stage in (("quality", good), ("near_dedup", one_of_each), ("decontaminate", without_benchmark), ("mixing", mix), ("token_ids", tokens))]
 
 #: SQL has neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None

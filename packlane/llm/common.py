@@ -51,10 +51,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release() -> None:
-    """Remove every table and file that operators left in the shared folder."""
-    while _made:
-        spark, path = _made.pop()
+def made() -> list[tuple[SparkSession, str]]:
+    """What operators have made in the shared folder so far."""
+    return list(_made)
+
+
+def release(only: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Remove what operators left in the shared folder, all of it or only some."""
+    gone = made() if only is None else [x for x in only if x in _made]
+    for x in gone:
+        _made.remove(x)
+    while gone:
+        spark, path = gone.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
