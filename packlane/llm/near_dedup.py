@@ -216,10 +216,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        # every node hangs its larger neighbours, and itself, on its smallest one
+        # every node hangs all its neighbours, and itself, on its smallest one
         hung = pairs.select(F.col("a").alias("x"), F.col("b").alias("a")).join(least, "a").select(F.col("x").alias("a"), F.col("low").alias("b"))
+        under = pairs.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         own = least.select("a", F.col("low").alias("b"))
-        made = hung.unionByName(own).where("a > b").distinct().mapInArrow(_forest, "a long, b long").where("a > b").distinct()
+        made = hung.unionByName(under).unionByName(own).where("a > b").distinct().mapInArrow(_forest, "a long, b long").where("a > b").distinct()
         nxt = common.table(made, "dedup-forest")
         # done when each node hangs on one root, and no root hangs on another
         roles = nxt.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("r")).select("r.*")

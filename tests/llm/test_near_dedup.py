@@ -91,6 +91,20 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent if root(x) != x}
 
 
+def test_components_of_links_that_lie_apart(spark, monkeypatch):
+    """Few rounds suffice though no task sees two links of a node."""
+    rounds = []
+    whole = near_dedup.common.table
+    monkeypatch.setattr(near_dedup.common, "table", lambda df, name: rounds.append(name) or whole(df, name))
+    monkeypatch.setattr(near_dedup, "_forest", lambda rows: rows)
+    rng = np.random.default_rng(5)
+    order = rng.permutation(300).tolist()
+    links = [(order[i], order[i + 1]) for i in range(299)]
+    df = spark.createDataFrame([(max(x), min(x)) for x in links], "a long, b long").repartition(4)
+    got = {r.node: r.component for r in near_dedup.components(df).collect()}
+    assert got == {i: 0 for i in range(1, 300)} and len(rounds) <= 16
+
+
 def test_signature_estimates_similarity_with_less_variance():
     rng = np.random.default_rng(6)
     errors = []
