@@ -53,6 +53,8 @@ SHARD = 8_000_000
 
 _ASCII = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(r"[!-~]*")
+#: ASCII signs that may trail a word and form one pre-token with each other.
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
 
 
 def default_tokenizer() -> str:
@@ -72,8 +74,21 @@ def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+class Cache(dict):
+    """Values by key, made when they are first asked for; emptied when it is full."""
+
+    def __init__(self, make: Callable) -> None:
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) > CACHE:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
-    """Bytes of u16 or u32 ids of a text, by a cache over its pieces."""
+    """Bytes of u32 ids of a text, by a cache over its pieces."""
 
     def __init__(self, path: str, whole_texts: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,7 +96,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = whole_texts
-        self.model, self.pieces, self.cores = self.tokenizer.model, {}, {}
+        self.model, self.pieces, self.cores = self.tokenizer.model, Cache(self._piece), Cache(self._core)
         self.letters = _byte_letters()
 
     def _ids(self, text: str) -> list[int]:
@@ -89,35 +104,25 @@ class Encoder:
 
     def _core(self, core: str) -> bytes:
         """A pre-token in the byte-level alphabet."""
-        got = self.cores.get(core)
-        if got is None:
-            if len(self.cores) > CACHE:
-                self.cores.clear()
-            got = self.cores[core] = _packed([t.id for t in self.model.tokenize(core)])
-        return got
+        return _packed([t.id for t in self.model.tokenize(core)])
 
     def _piece(self, raw: bytes) -> bytes:
         """Plain words go straight to the model; what the normaliser or the splitter could treat otherwise goes through all of the tokenizer."""
         text = raw.decode()
         if text.isascii():
             if "'" not in text and "<|" not in text and _PLAIN.fullmatch(text):
-                return b"".join(map(self._core, _ASCII.findall(text.lower())))
-        elif text.isalpha() and max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text):
-            return self._core("".join(map(self.letters.__getitem__, text.lower().encode())))
+                return b"".join(map(self.cores.__getitem__, _ASCII.findall(text.lower())))
+        else:
+            word = text.rstrip(SIGNS)
+            if word.isalpha() and max(word) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word):
+                ids = self.cores["".join(map(self.letters.__getitem__, word.lower().encode()))]
+                return ids + self.cores[text[len(word) :]] if len(word) < len(text) else ids
         return _packed(self._ids(text))
 
     def __call__(self, text: bytes) -> bytes:
         if self.whole:
             return _packed(self._ids(text.decode()))
-        pieces, seen = text.split(), self.pieces
-        try:
-            return b"".join(map(seen.__getitem__, pieces))
-        except KeyError:
-            if len(seen) > CACHE:
-                seen.clear()
-            for p in set(pieces).difference(seen):
-                seen[p] = self._piece(p)
-            return b"".join(map(seen.__getitem__, pieces))
+        return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
 _encoders: dict[tuple, Encoder] = {}

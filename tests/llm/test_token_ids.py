@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 TEXTS = [
     "Plain words, and more words.", "", None, "  \t\n ", "it's DON'T we'll x'y 'tis '", "É è Ünïcode straße ΣΑΣ İstanbul école", "a<|endoftext|>b <|startoftext|>",
-    "12 3.5 a1b2 $$$ !!!??? a_b-c", "tab\x0bvt\x0cff\x1cfs\x85nel\xa0nbsp em", "日本語 テキスト 한국어", "😀 emoji👍🏽 mix😀ed", "\x00nul\x01 \x7f", "ǅ Ǆ ªº ʰ", "ﬁ ligature ½ ² Ⅷ", "long " * 5000,
+    "12 3.5 a1b2 $$$ !!!??? a_b-c", "école, été... ñandú!? é's é<| ça|> Éa' naïve-té über(ö) ß. é_ e\u0301a, ŉ", "tab\x0bvt\x0cff\x1cfs\x85nel\xa0nbsp em", "日本語 テキスト 한국어", "😀 emoji👍🏽 mix😀ed", "\x00nul\x01 \x7f", "ǅ Ǆ ªº ʰ", "ﬁ ligature ½ ² Ⅷ", "long " * 5000,
 ]
 
 
