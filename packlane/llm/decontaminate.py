@@ -4,13 +4,15 @@ A seed is a mask over consecutive words in which some places are ignored, so
 that a copy with substituted words still meets a benchmark item wherever the
 places that count are whole. Documents and items are hashed at every position
 under every mask; equal hashes are hits on a diagonal (place in the document
-less place in the item). Around its hits a diagonal is verified: the segment
-with the best score (1 for an equal word, -2 for a substituted one) is taken,
-and it is a leak if it has SIMILAR of its words equal and covers SIMILAR of
-the item, or at least LONG equal words.
+less place in the item). A diagonal with a hit is a leak if any segment of it
+has SIMILAR of its words equal and covers SIMILAR of the item, or at least LONG
+equal words; of such segments the one with most equal words is taken.
 
-Words: letters, digits and bytes from 0x80 on, A-Z lower-cased. Items shorter
-than a mask are hashed whole, and only whole copies count.
+The masks alone miss segments with dense substitutions. So each item is also
+hashed by whole runs of words, as long as every segment that can be a leak of
+an item of its length must hold (see run_length): no leak is without a hit.
+
+Words: letters, digits and bytes from 0x80 on, A-Z lower-cased.
 
 The item side is broadcast if its words are counted and no more than
 BROADCAST_WORDS; beyond that, hashes of documents (a row for each distinct
@@ -47,8 +49,8 @@ def hash_words(text: bytes, word_hash: common.WordHash) -> np.ndarray:
     return word_hash(tokens(text))
 
 
-def seeds(h: np.ndarray, short: bool = False) -> list[np.ndarray]:
-    """Hashes under each mask at each place; short texts have one more array, of the whole."""
+def seeds(h: np.ndarray) -> list[np.ndarray]:
+    """Hashes under each mask at each place."""
     out = []
     for m, pattern in enumerate(MASKS):
         n = len(h) - len(pattern) + 1
@@ -61,7 +63,7 @@ def seeds(h: np.ndarray, short: bool = False) -> list[np.ndarray]:
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, for items of k words."""
+    """Hashes of all runs of k words."""
     n = len(h) - k + 1
     acc = np.full(max(0, n), 1000 + k, np.uint64)
     for i in range(k):
@@ -70,34 +72,47 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
-SHORTEST = min(map(len, MASKS))
+#: The score of a substituted word, at which a segment is not below 0 if SIMILAR of its words are equal.
+SUBSTITUTED = -round(SIMILAR / (1 - SIMILAR))
+
+
+def needed(n: int) -> int:
+    """Equal words that a leak of an item of n words has at least."""
+    return min(LONG, -(SUBSTITUTED * n // (1 - SUBSTITUTED)))
+
+
+def run_length(n: int) -> int:
+    """Words of the longest run without a substitution that each leak of an item of n words holds.
+
+    Of m equal words, cut by no more substitutions than SIMILAR allows and the
+    item has room for, one run has an equal share at least. 4 from 16 words on.
+    """
+    return min(-(-m // (1 + min(m // -SUBSTITUTED, n - m))) for m in range(needed(n), min(n, 4 * LONG) + 1))
 
 
 def item_seeds(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(0, hashes by place) for each mask, or (k, one hash) for an item of k words that no mask fits."""
-    if 0 < len(h) < SHORTEST:
-        return [(len(h), runs(h, len(h)))]
-    return [(0, s) for s in seeds(h) if len(s)]
+    """(0, hashes by place) for each mask that fits, and (k, hashes by place) of the runs of k words."""
+    if not len(h):
+        return []
+    k = run_length(len(h))
+    return [*((0, s) for s in seeds(h) if len(s)), (k, runs(h, k))]
 
 
 def verify(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
     """(start in the document, start in the item, length, matched) of a leak on a diagonal, or None."""
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = doc[lo + diagonal : hi + diagonal] == item[lo:hi]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    best = total - np.minimum.accumulate(total)
-    end = int(best.argmax())
-    if not best[end]:
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, SUBSTITUTED))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # for each end the first start from which SIMILAR is kept: no other one has more equal words
+    first = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    matched = equal - equal[first]
+    end = int(matched.argmax())
+    if not matched[end] or matched[end] < needed(len(item)):
         return None
-    start = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
-    n, matched = end - start, int(same[start:end].sum())
-    whole = int(same.sum())
-    if matched >= SIMILAR * n and (matched >= SIMILAR * len(item) or matched >= LONG):
-        return start + lo + diagonal, start + lo, n, matched
-    # substitutions may cut the segment though most of the item stands there
-    if whole >= SIMILAR * len(item):
-        return lo + diagonal, lo, hi - lo, whole
-    return None
+    at = np.flatnonzero(same[first[end] : end]) + int(first[end])
+    start, n = int(at[0]), int(at[-1] - at[0]) + 1
+    return start + lo + diagonal, start + lo, n, int(matched[end])
 
 
 class Items:
@@ -105,11 +120,11 @@ class Items:
 
     def __init__(self, ids: list, words: list[np.ndarray]) -> None:
         self.ids, self.words = ids, words
-        keys, item, place, self.short = [], [], [], set()
+        keys, item, place, self.runs = [], [], [], set()
         for i, h in enumerate(words):
             for k, s in item_seeds(h):
                 if k:
-                    self.short.add(k)
+                    self.runs.add(k)
                 keys.append(s)
                 item.append(np.full(len(s), i))
                 place.append(np.arange(len(s)))
@@ -125,7 +140,7 @@ class Items:
     def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, diagonal) of every hit of a document."""
         found: set[tuple[int, int]] = set()
-        for s in [*seeds(h), *(runs(h, k) for k in sorted(self.short))]:
+        for s in [*seeds(h), *(runs(h, k) for k in sorted(self.runs))]:
             at = np.flatnonzero(self.filter[(s >> np.uint64(48)).astype(np.int64)])
             if not len(at):
                 continue
@@ -187,7 +202,7 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs, items = _given(docs, "doc_id"), _given(items, "item_id")
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     items = common.table(items.withColumn("item", F.xxhash64("item_id", "text", F.monotonically_increasing_id())), "leak-items")
-    lengths = sorted(r[0] for r in items.mapInArrow(_lengths, "k int").distinct().collect())  # as many as a mask is long
+    lengths = sorted(r[0] for r in items.mapInArrow(_lengths, "k int").distinct().collect())  # four at most
 
     def of_doc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = common.WordHash()
@@ -223,7 +238,7 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _lengths(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.batches(rows):
-        k = [n for t in batch.column("text").to_pylist() if 0 < (n := len(tokens(t))) < SHORTEST]
+        k = {run_length(n) for t in batch.column("text").to_pylist() if (n := len(tokens(t)))}
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32())], ["k"])
 
 

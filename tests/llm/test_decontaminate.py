@@ -60,3 +60,68 @@ def test_seeds_meet_substituted_copies():
         got = index.leaks(doc)
         found += bool(got) and got[0][4] == brute
     assert found == 200
+
+
+def brute(doc, item):
+    """Whether any segment of any diagonal keeps the rule, tried one by one."""
+    for diagonal in range(-len(item) + 1, len(doc)):
+        same = [doc[j + diagonal] == w for j, w in enumerate(item) if 0 <= j + diagonal < len(doc)]
+        for a in range(len(same)):
+            m = 0
+            for b in range(a, len(same)):
+                m += same[b]
+                if 5 * m >= 4 * (b - a + 1) and (m >= 13 or 5 * m >= 4 * len(item)):
+                    return True
+    return False
+
+
+def leak_of(doc, item):
+    hash_ = dc.common.WordHash()
+    return dc.Items([0], [dc.hash_words(item.encode(), hash_)]).leaks(dc.hash_words(doc.encode(), hash_))
+
+
+def clumped(copied, changed, times):
+    """An item of runs, and a document that copies only the runs."""
+    item = [f"i{n}" for n in range(times * (copied + changed))]
+    return " ".join(item), " ".join(w if n % (copied + changed) < copied else f"c{n}" for n, w in enumerate(item))
+
+
+@pytest.mark.parametrize("copied, changed, times", [(14, 6, 3), (20, 9, 4), (14, 14, 2), (13, 1, 9)])
+def test_more_of_the_item_loses_no_run(copied, changed, times):
+    item, doc = clumped(copied, changed, times)
+    got = leak_of(doc, item)
+    assert got and got[0][4] >= copied and 5 * got[0][4] >= 4 * got[0][3]
+
+
+@pytest.mark.parametrize("share", [0.2, 0.25, 0.3])
+def test_leaks_are_those_of_brute_force(share):
+    rng = np.random.default_rng(int(share * 100))
+    seen = set()
+    for n in [*range(1, 20), *range(20, 80, 3)] * 4:
+        item = [f"i{x}" for x in rng.integers(0, 400, n)]
+        doc = list(item)
+        at = 0
+        while at < n:  # clumps of 1 to 6 words, or single ones
+            if rng.random() < share / (2 if n % 2 else 1):
+                for j in range(at, min(n, at + (rng.integers(1, 7) if n % 2 else 1))):
+                    doc[j] = "changed"
+            at += 1
+        doc = ["z"] * 5 + doc + ["z"] * 5
+        want = brute(doc, item)
+        got = leak_of(" ".join(doc), " ".join(item))
+        assert bool(got) == want
+        for _, a, q, length, matched in got:
+            assert sum(doc[a + j] == item[q + j] for j in range(length)) == matched
+            assert 5 * matched >= 4 * length and (matched >= 13 or 5 * matched >= 4 * n)
+        seen.add(want)
+    assert seen == {True, False}
+
+
+@pytest.mark.parametrize("n", range(1, 24))
+def test_one_or_more_changed_words_of_short_items(n):
+    """Every choice of changed words of which the rule allows as many is met."""
+    from itertools import combinations
+
+    item = [f"i{x}" for x in range(n)]
+    for changed in combinations(range(n), min(n // 5, 3)):
+        assert leak_of("z z " + " ".join("c" if j in changed else w for j, w in enumerate(item)) + " z", " ".join(item))
