@@ -7,6 +7,17 @@ budget is first met by complete epochs of all its documents; the rest is taken
 by keys until the prefix sum reaches it, and one further document, the one
 whose size is nearest to what is left, closes the gap if that comes nearer.
 
+With Mix.go_on (the default) that is done at once only if it comes nearer than
+the smallest document left. Else documents that overrun what is left are passed
+over and later keys go on to be taken: in each round keys of documents of at
+most half of what is left, up to the first that overruns it, so that a round
+halves what is left or takes all such documents, and rounds are few. Then one
+further document closes the gap. So a source differs from its budget by no more
+than the smallest document left out before it, nor by more than if the gap had
+been closed at once, which stands where it comes nearer. Without go_on the gap is closed at once, as
+op2_mixing's SQL does, and documents much longer than others may leave a budget
+unfilled.
+
 Sums over a source never meet in one task: keys fall into slices, slices are
 summed (with partial aggregation), and only the slice in which a budget ends
 is ordered row by row.
@@ -40,6 +51,8 @@ class Mix:
     #: No document is taken more often than this.
     epochs: int = 3
     seed: str = "mix-1:"
+    #: Whether later keys are taken after the first document that overruns a budget.
+    go_on: bool = True
 
 
 def sizes(docs: DataFrame, *others: str) -> DataFrame:
@@ -92,7 +105,8 @@ def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
 
     source, source_size, target, full (complete epochs), miss (the first key
     that the prefix leaves out; null if it takes all or has no budget),
-    some (whether a part is taken at all), closing (the key that fills the gap).
+    some (whether a part is taken at all), closing (the key that fills the gap);
+    with mix.go_on also more (what is taken after miss, see _go_on).
     """
     n = rows.count()
     # equal shares of the keys if all weights were alike; monotone in the key, so slices keep its order
@@ -121,26 +135,93 @@ def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
         F.first("end_start").alias("end_start"),
     )
     cut = common.table(cut.select("source", "miss", (F.col("left") - F.coalesce("hit", "end_start")).alias("gap")), "mix-cut")
+    if mix.go_on:
+        cut = _go_on(rows, cut)
+    more = ["more"] if mix.go_on else []
 
     # the document that closes the gap: nearest to it in size, if taking it helps
     off = F.abs(F.col("size") - F.col("gap"))
     near = common.join_small(rows, cut, "source", "inner").where((_key() >= F.col("miss")) & (F.col("size") > 0) & (off < F.col("gap")))
-    near = near.groupBy("source").agg(F.min(F.struct(off.alias("off"), _key().alias("key"))).alias("near")).select(F.col("source").alias("s"), F.col("near.key").alias("closing"))
-    end = cut.join(near, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("e"), "miss", "closing")
-    return common.table(plan.join(end, F.col("source").eqNullSafe(F.col("e")), "left").select("source", "source_size", "target", "full", (F.col("left") > 0).alias("some"), "miss", "closing"), "mix-budgets")
+    if mix.go_on:
+        near = near.where(~_after())
+    near = near.groupBy("source").agg(F.min(F.struct(off.alias("off"), _key().alias("key"))).alias("near")).select(F.col("source").alias("s"), "near", F.col("near.key").alias("closing"))
+    end = cut.join(near, F.col("source").eqNullSafe(F.col("s")), "left")
+    if mix.go_on:
+        nearer = F.coalesce(F.col("first.off") < F.coalesce(F.col("near.off"), F.col("gap")), F.lit(False))
+        end = end.withColumns({"closing": F.when(nearer, F.col("first.key")).otherwise(F.col("closing")), "more": F.when(~nearer, F.col("more"))})
+    end = end.select(F.col("source").alias("e"), "miss", "closing", *more)
+    return common.table(plan.join(end, F.col("source").eqNullSafe(F.col("e")), "left").select("source", "source_size", "target", "full", (F.col("left") > 0).alias("some"), "miss", "closing", *more), "mix-budgets")
+
+
+MORE = "array<struct<after: struct<draw: double, doc_id: long, size: long>, before: struct<draw: double, doc_id: long, size: long>, most: double>>"
 
 
-def _copies() -> Column:
+def _go_on(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """source, miss, gap (what is left now), first (what closes the gap at once) and more: an entry for each round.
+
+    A round takes the keys after `after` and before `before` (null: to the end)
+    of documents of no more than `most`.
+    """
+    half = F.col("gap") / 2
+    fits = (F.col("size") > 0) & (F.col("size") <= half)
+    rest = common.join_small(rows, cut, "source", "inner").where((_key() > F.col("miss")) & fits)
+    rest = common.table(rest.select("source", "slice", "draw", "doc_id", "size"), "mix-rest")
+    # no rounds where one document comes nearer than the smallest one
+    left = common.join_small(rows, cut, "source", "inner").where((_key() >= F.col("miss")) & (F.col("size") > 0))
+    off = F.abs(F.col("size") - F.col("gap"))
+    left = left.groupBy("source").agg((F.min(off) < F.min("size")).alias("near"), F.min(F.when(off < F.col("gap"), F.struct(off.alias("off"), _key().alias("key")))).alias("first"))
+    state = cut.join(left.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t")), "left")
+    state = common.table(state.select("source", "miss", "gap", "first", F.when(~F.col("near"), F.col("miss")).alias("after"), F.array().cast(MORE).alias("more")), "mix-cut")
+    while True:
+        now = common.join_small(rest, state.select("source", "gap", "after"), "source", "inner").where((_key() > F.col("after")) & fits)
+        per_slice = common.table(now.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix-fits")
+        if per_slice.isEmpty():
+            return state.drop("after")
+        up = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+        # the slice in which what is left ends; none if all documents fit
+        upto = common.join_small(per_slice.withColumn("upto", F.sum("slice_size").over(up)), state.select("source", "gap"), "source", "inner")
+        ends = upto.groupBy("source").agg(
+            F.min(F.when(F.col("upto") > F.col("gap"), F.col("slice"))).alias("end_slice"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.lit(0)).alias("taken"),
+        )
+        ends = common.table(ends, "mix-ends")
+
+        last = common.join_small(now, ends, "source", "inner").where(F.col("slice") == F.col("end_slice"))
+        # equal keys are taken together or not at all
+        order = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        last = last.withColumn("upto", F.col("taken") + F.sum("size").over(order))
+        stop = last.groupBy("source").agg(
+            F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("hit"),
+            F.min(F.when(F.col("upto") > F.col("gap"), _key())).alias("before"),
+        )
+        round_ = ends.join(stop.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t")), "left")
+        round_ = round_.select(F.col("source").alias("t"), "before", F.coalesce("hit", "taken").alias("taken"))
+        state = state.join(round_, F.col("source").eqNullSafe(F.col("t")), "left").select(
+            "source", "miss", "first",
+            (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"),
+            F.col("before").alias("after"),
+            F.when(F.col("taken").isNull(), F.col("more")).otherwise(F.concat("more", F.array(F.struct("after", "before", half.alias("most"))).cast(MORE))).alias("more"),
+        )
+        state = common.table(state, "mix-cut")
+
+
+def _after() -> Column:
+    """Whether a document is taken after the first that overran the budget."""
+    key, size = _key(), F.col("size")
+    return F.coalesce(F.exists("more", lambda r: (key > r["after"]) & (r["before"].isNull() | (key < r["before"])) & (size > 0) & (size <= r["most"])), F.lit(False))
+
+
+def _copies(mix: Mix) -> Column:
     key = _key()
     part = (F.col("some") & F.coalesce(key < F.col("miss"), F.lit(False))) | F.coalesce(key == F.col("closing"), F.lit(False))
-    return F.col("full") + part.cast("long")
+    return F.col("full") + (part | _after() if mix.go_on else part).cast("long")
 
 
 def take(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row."""
     common.prepare(docs.sparkSession)
     rows = common.table(keyed(docs, mix), "mix-keys")
-    dealt = common.join_small(rows, budgets(rows, mix), "source").withColumn("copies", _copies())
+    dealt = common.join_small(rows, budgets(rows, mix), "source").withColumn("copies", _copies(mix))
     return dealt.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -151,11 +232,11 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     # texts stay where they are: keys are computed again beside them
     own = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     dealt = common.join_small(keyed(docs.select("doc_id", "source", "text", own), mix, "row"), plan, "source")
-    return dealt.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")
+    return dealt.select("row", F.explode(F.array_repeat(F.lit(0), _copies(mix).cast("int")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return take(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return take(common.documents(spark, sf_dir), Mix(go_on=False)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

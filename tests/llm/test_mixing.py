@@ -80,3 +80,35 @@ def test_mixed_repeats_rows(spark):
     for r in out.collect():
         seen[r.doc_id] += 1
     assert seen == {d: n for d, n in copies.items() if n}
+
+
+def left_out(rows):
+    """Per source: |taken - target|, and the smallest document with words that is left out (the largest one if none is)."""
+    size, taken, target, small = defaultdict(int), defaultdict(int), {}, {}
+    for r in rows:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for r in rows:
+        if r.size and r.copies <= r.target // size[r.source]:
+            small[r.source] = min(small.get(r.source, r.size), r.size)
+    return {s: (abs(taken[s] - target[s]), small.get(s, max(r.size for r in rows if r.source == s))) for s in size}
+
+
+@pytest.mark.parametrize("seed", ["mix-1:", "a"])
+def test_long_documents_leave_no_budget_unfilled(spark, seed):
+    rows = [(i, "even", "w " * 10) for i in range(300)] + [(300, "even", "w " * 3000)]
+    rows += [(1000 + i, None, "w " * (100 + 7 * i % 600)) for i in range(80)] + [(1100, None, "w " * 40_000), (1101, None, "w " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = mixing.Mix(weights=(1.0, 5.0), share=0.4, seed=seed)
+    got = mixing.take(df, mix).collect()
+    at_once = left_out(mixing.take(df, mixing.Mix(weights=(1.0, 5.0), share=0.4, seed=seed, go_on=False)).collect())
+    for source, (off, small) in left_out(got).items():
+        assert off <= at_once[source][0]
+        if source is None:
+            assert off <= small
+    copies = {r.doc_id: r.copies for r in got}
+    seen = defaultdict(int)
+    for r in mixing.mixed(df, mix).collect():
+        seen[r.doc_id] += 1
+    assert seen == {d: n for d, n in copies.items() if n}
