@@ -42,7 +42,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         held = spark.sparkContext.getCheckpointDir()
         base = os.path.dirname(held) if held else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="packlane-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="packlane-")  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base:
         base = base if base.startswith("file:") else "file://" + os.path.abspath(base)
@@ -84,6 +86,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder in the shared one, from any process."""
+    for scheme in ("s3a://", "s3n://"):  # Hadoop's names for s3
+        uri = "s3://" + uri.removeprefix(scheme) if uri.startswith(scheme) else uri
     return pafs.FileSystem.from_uri(uri)
 
 

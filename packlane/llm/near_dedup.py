@@ -8,14 +8,24 @@ Equal bands of registers make candidates, which are confirmed on full sets.
 
 Scale and skew. Equal sets collapse into one representative before anything
 else. In a bucket, every member is compared with PIVOTS members (stars, not all
-pairs), and the confirmed links are grouped. Only members of a bucket that are
-still in different groups are compared with each other, in a second round; so
-no link that shares a band is lost, and a bucket of near copies costs about as
-many comparisons as it has members. Both rounds leave out pairs whose sizes do
-not allow the similarity, or whose signatures (4 bits of each register) differ
-in more registers than a link would by 5.5 standard deviations. With ROWS rows
-in each of BANDS bands, a link at 0.85 has no band in common with a
-probability of 8e-7. Sets are fetched for candidates alone.
+pairs), and the confirmed links are grouped. Of each bucket that still holds
+several groups, the pivot with most links is the centre, and what is left is a
+join of differences: for a centre c, the difference of a set x is x xor c.
+Sets x and y are similar enough only if their differences share at least
+(|x xor c| + |y xor c| - most) / 2 elements, most being what x and y may differ
+in; pairs that need share nothing hang on the centre already. So the members
+meet by the rarest elements of their differences (a prefix in order of how many
+members hold them, as long as the overlap demands), not by their bucket, and
+only members of different groups. Near copies of one text differ from its
+centre in elements of their own, so a bucket of m near copies gives about m
+candidates, whatever their similarity; only sets that do share most of a
+difference are compared with each other. All pairs that share a band and
+are similar enough are found. Two sets similar to 0.85 share none with a
+probability of 8e-7, two similar to 0.8 with 7e-5 (measured recall in the
+tests: 1). Pairs with a pivot are left out if their sizes do not allow the
+similarity, or if their signatures (4 bits of each register) differ in more
+registers than a link would by 5.5 standard deviations. Sets are fetched for
+candidates alone.
 
 Groups are joined by union-find: a task merges the links that it holds into
 trees, then rounds of smallest-neighbour steps shorten the trees over all
@@ -34,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -144,7 +154,7 @@ def allowed(percent: int) -> int:
     return math.ceil(REGISTERS * q + 5.5 * math.sqrt(REGISTERS * q * (1 - q)))
 
 
-SIGNED = "doc_id long, n_shingles long, fp binary, bands array<long>, sig array<long>"
+SIGNED = "doc_id long, tx long, n_shingles long, fp binary, bands array<long>, sig array<long>"
 
 
 def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +162,7 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in common.batches(rows):
         for i in range(0, whole.num_rows, 100):
             batch = whole.slice(i, 100)
-            h, starts = shingle_sets(common.texts(batch.column(1)), word_hash)
+            h, starts = shingle_sets(common.texts(batch.column("text")), word_hash)
             n, fps = np.diff(starts), _fingerprints(h, starts)
             # one signature for each set that this task has not signed lately
             ids = batch.column(0).to_pylist()
@@ -169,7 +179,7 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = [keys.pop(fps[j], None) if n[j] and ids[j] is not None else None for j in range(len(n))]
             both = [pa.array([m and m[i] for m in made], pa.list_(pa.int64())) for i in (0, 1)]
             seen.update((fps[j], True) for j in new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([f if c else None for f, c in zip(fps, n)], pa.binary()), *both], [x.split()[0] for x in SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("tx"), pa.array(n, pa.int64()), pa.array([f if c else None for f, c in zip(fps, n)], pa.binary()), *both], [x.split()[0] for x in SIGNED.split(", ")])
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +188,8 @@ def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, whole.num_rows, 100):
             batch = whole.slice(i, 100)
             h, starts = shingle_sets(common.texts(batch.column(1)), word_hash)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))], ["rep", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(h, starts), pa.binary()), lists], ["fp", "shingles"])
 
 
 # -- union-find ---------------------------------------------------------------
@@ -233,11 +244,15 @@ def components(links: DataFrame) -> DataFrame:
 # -- the operator -------------------------------------------------------------
 
 
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(x, c, ...) with the full sets left (of x) and right (of c); a set that many pairs share should be c."""
+    left = sets.select(F.col("set").alias("x"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("set").alias("c"), F.col("shingles").alias("right"))
+    return pairs.join(left, "x").join(right, "c")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
+    """Those of pairs(x, c) whose full sets are similar enough, as links a, b."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(rows):
@@ -245,89 +260,146 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
-                common_ = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * common_ >= percent * (len(u) + len(v) - common_))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("c")], ["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return _beside(pairs, sets).select("x", "c", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
-    spark = common.prepare(docs.sparkSession)
-    given = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = common.table(given.mapInArrow(_sign, SIGNED), "dedup-signed")
+DIFFERENCES = "c long, x long, n long, family long, d long, elements array<long>"
+
+
+def _differ(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements that a set and its centre do not share."""
+    for batch in common.batches(rows):
+        left, right = batch.column("left"), batch.column("right")
+        parts = [np.setxor1d(left[i].values.to_numpy(), right[i].values.to_numpy(), assume_unique=True) for i in range(batch.num_rows)]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("c", "x", "n", "family")), pa.array(sizes), lists], [k.split()[0] for k in DIFFERENCES.split(", ")])
+
+
+def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (x, c) among members(c, x, n, family): sets of one centre and different families.
+
+    Each pair that is similar enough is among them (see the head of the module).
+    """
+    differ = common.table(_beside(members, sets).select("c", "x", "n", "family", "left", "right").mapInArrow(_differ, DIFFERENCES), "dedup-differences")
+    each = differ.select("c", "x", F.explode("elements").alias("e"))
+    shared = each.groupBy("c", "e").agg(F.count("*").alias("often")).where("often > 1")
+    # elements that one member alone holds come first in the order and meet nobody
+    ranked = each.join(shared, ["c", "e"]).groupBy("c", "x").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("shared"))
+    # a set of n elements differs from a similar one in no more than most; the prefix is one longer
+    most, alone = F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent)), F.col("d") - F.size("shared")
+    rows = differ.select("c", "x", "n", "family", "d").join(ranked, ["c", "x"])
+    rows = rows.select("c", "x", "n", "family", "d", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(F.lit(0), most + 1 - alone).cast("int")).alias("prefix"))
+    rows = rows.select("c", "x", "n", "family", "d", "alone", F.posexplode("prefix").alias("i", "p")).select("c", "x", "n", "family", "d", (F.col("alone") + F.col("i") + 1).alias("rank"), F.col("p.e").alias("e"))
+    rows = common.table(rows, "dedup-prefixes")
+    # the largest family of a centre need not meet itself
+    large = rows.select("c", "x", "family").distinct().groupBy("c", "family").agg(F.count("*").alias("members")).groupBy("c").agg(F.max_by("family", F.struct("members", "family")).alias("large"))
+    mixed = rows.groupBy("c", "e").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("c", "e")
+    rows = rows.join(mixed, ["c", "e"]).join(large, "c")
+    few = rows.where("family <> large").drop("large")
+    other = rows.select("c", "e", F.col("x").alias("y"), F.col("n").alias("m"), F.col("family").alias("kin"), F.col("d").alias("f"), F.col("rank").alias("place"), F.col("large"))
+    overlap = F.ceil((F.col("d") + F.col("f") - F.floor((F.col("n") + F.col("m")) * F.lit(100 - percent) / F.lit(100 + percent))) / 2)
+    fits = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")) & (F.col("rank") <= F.col("d") - overlap + 1) & (F.col("place") <= F.col("f") - overlap + 1)
+    once = (F.col("kin") == F.col("large")) | (F.col("x") < F.col("y"))
+    met = few.join(other, ["c", "e"]).where((F.col("family") != F.col("kin")) & once & fits)
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("c")).distinct()
+
+
+def _sets_linked(signed: DataFrame, given: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (fp, set, rep, n) of signed rows, and the links a, b of those that are similar enough."""
     named = signed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    # equal sets have one representative: the smallest doc_id
-    reps = common.table(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first(F.when(F.col("bands").isNotNull(), F.struct("bands", "sig")), ignorenulls=True).alias("s")).select("fp", "rep", "n", "s.bands", "s.sig"), "dedup-reps")
-    # a doc_id that is repeated with other texts stands for several sets; the sets are told apart by a number
-    marked = reps.select("fp", "rep", "n", "bands", "sig", F.xxhash64("fp").alias("set"))
+    # equal sets have one representative, the smallest doc_id; a set is numbered when the table is written
+    reps = named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first(F.when(F.col("bands").isNotNull(), F.struct("bands", "sig")), ignorenulls=True).alias("s"))
+    marked = common.table(reps.select("fp", "rep", "n", "s.bands", "s.sig", F.monotonically_increasing_id().alias("set")), "dedup-reps")
     buckets = marked.select("set", "n", F.explode("bands").alias("key"))
     full = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     crowded = common.table(buckets.join(full, "key").join(marked.select("set", "sig"), "set"), "dedup-buckets")
     fits = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")) & (differing("sig", "sog") <= allowed(percent))
     # one pivot from each slot of a bucket, found with partial aggregation
     slot = F.pmod(F.xxhash64("key", "set"), F.lit(PIVOTS))
-    stars = crowded.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("set", "n", "sig"), F.xxhash64("set", "key")).alias("p")).select(F.col("key").alias("k"), F.col("p.set").alias("b"), F.col("p.n").alias("m"), F.col("p.sig").alias("sog"))
+    stars = crowded.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("set", "n", "sig"), F.xxhash64("set")).alias("p")).select(F.col("key").alias("k"), F.col("p.set").alias("b"), F.col("p.n").alias("m"), F.col("p.sig").alias("sog"))
     first = crowded.join(stars, (F.col("key") == F.col("k")) & (F.col("set") != F.col("b")) & fits)
-    first = common.table(first.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct(), "dedup-pairs")
+    first = common.table(first.select(F.col("set").alias("x"), F.col("b").alias("c")).distinct(), "dedup-pairs")
 
-    some = crowded.select("set").distinct()
-    wanted = marked.join(some, "set").select("fp", "set", "rep")
     # texts of representatives of candidates alone
-    carriers = named.select("doc_id", "fp").join(wanted, (named["fp"] == wanted["fp"]) & (named["doc_id"] == wanted["rep"])).select("doc_id", "set").distinct()
-    texts = given.join(carriers.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "rep long, shingles array<long>")
-    sets = common.table(_named(sets), "dedup-sets")
+    wanted = marked.join(crowded.select("set").distinct(), "set").select("fp", "set", "rep")
+    texts = given.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = common.table(texts.mapInArrow(_sets, "fp binary, shingles array<long>").join(wanted.select("fp", "set"), "fp").select("set", "shingles").dropDuplicates(["set"]), "dedup-sets")
     links = common.table(_confirm(first, sets, percent), "dedup-links")
 
     group = components(links)
-    placed = crowded.join(group, crowded["set"] == group["node"], "left").select("key", "set", "n", "sig", F.coalesce("component", "set").alias("group"))
-    split = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(split, "key")
-    other = rest.select(F.col("key").alias("k"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sog"), F.col("group").alias("other"))
-    second = rest.join(other, (F.col("key") == F.col("k")) & (F.col("group") < F.col("other")) & fits)
-    second = second.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
-    second = common.table(second.join(first, ["a", "b"], "left_anti"), "dedup-pairs")
-    more = _confirm(second, sets, percent)
-
-    # links between sets become links between documents: a set is a node beside its documents
-    of_set = marked.select("set", "rep", "fp")
-    ends = common.table(links.unionByName(more), "dedup-links")
+    placed = crowded.select("key", "set", "n").join(group, crowded["set"] == group["node"], "left").select("key", "set", "n", F.coalesce("component", "set").alias("family"))
+    split = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("key")
+    # the centre of a bucket is the pivot with most links
+    degree = links.select(F.explode(F.array("a", "b")).alias("b")).groupBy("b").agg(F.count("*").alias("degree"))
+    centre = stars.select(F.col("k").alias("key"), "b").join(degree, "b", "left").groupBy("key").agg(F.max_by("b", F.struct(F.coalesce("degree", F.lit(0)), "b")).alias("c"))
+    members = placed.join(split, "key").join(centre, "key").where("set <> c").select("c", F.col("set").alias("x"), "n", "family").distinct()
+    # a centre whose members are one family has nothing to do
+    torn = members.groupBy("c").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("c")
+    members = common.table(members.join(torn, "c"), "dedup-members")
+    second = _apart(members, sets, percent)
+    done = first.select(F.least("x", "c").alias("x"), F.greatest("x", "c").alias("c"))
+    second = common.table(second.join(done, ["x", "c"], "left_anti"), "dedup-pairs")
+    return marked.select("fp", "set", "rep", "n"), common.table(links.unionByName(_confirm(second, sets, percent)), "dedup-links")
+
+
+def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs as doc_id, text and tx (a hash of the text), and what _sign makes of them."""
+    given = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tx", F.xxhash64("text"))
+    return given, common.table(given.mapInArrow(_sign, SIGNED), "dedup-signed")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
+    common.prepare(docs.sparkSession)
+    given, signed = _signed(docs)
+    of_set, ends = _sets_linked(signed, given, percent)
+    # links between sets become links between documents
     between = ends.join(of_set.select(F.col("set").alias("a"), F.col("rep").alias("x")), "a").join(of_set.select(F.col("set").alias("b"), F.col("rep").alias("y")), "b")
     between = between.select(F.col("x").alias("a"), F.col("y").alias("b"))
     # a doc_id with several texts joins their sets
-    several = named.select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
-    tied = named.join(several, "doc_id").select("doc_id", "fp").distinct().join(of_set.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    named = signed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "fp")
+    several = named.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
+    tied = named.join(several, "doc_id").distinct().join(of_set.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     group = components(between.unionByName(tied))
     home = of_set.join(group, of_set["rep"] == group["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    hot = signed.select("doc_id", "n_shingles", "fp")
-    joined = hot.join(home, "fp", "left")
+    joined = signed.select("doc_id", "n_shingles", "fp").join(home, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _named(sets: DataFrame) -> DataFrame:
-    """Sets by the number of their fingerprint, as reps are."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in common.batches(rows):
-            col = batch.column("shingles")
-            fps = [xxhash.xxh3_128_digest(col[i].values.to_numpy().view(np.uint64).tobytes()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), col], ["fp", "shingles"])
-
-    return sets.mapInArrow(run, "fp binary, shingles array<long>").select(F.xxhash64("fp").alias("rep"), "shingles").dropDuplicates(["rep"])
-
-
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that their groups keep: one of each group, and all without a doc_id."""
-    kept = near_duplicates(docs, percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
-    # a doc_id that is repeated is one group: its first text stays
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("__first", first).where("__first = 1").drop("__first").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of similar texts, all columns: the one with the smallest doc_id.
+
+    Groups are of texts alone: rows that share a doc_id but not a group stay
+    both. Texts without words, and rows without a doc_id, are in no group and
+    all stay.
+    """
+    common.prepare(docs.sparkSession)
+    given, signed = _signed(docs)
+    of_set, ends = _sets_linked(signed, given, percent)
+    group = components(ends)
+    home = of_set.join(group, of_set["set"] == group["node"], "left").select("fp", F.coalesce("component", "set").alias("family"))
+    placed = signed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "tx", "fp").join(home, "fp")
+    best = placed.groupBy("family").agg(F.min(F.struct("doc_id", "tx")).alias("best")).select("best.*")
+    # a row that is repeated stays once; its hash tells which of several
+    stay = common.table(best.select(F.col("doc_id").alias("__doc_id"), F.col("tx").alias("__tx")), "dedup-kept")
+    again = signed.groupBy("doc_id", "tx").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")).where("rows > 1 AND n > 0").select("doc_id", "tx")
+    again = common.table(again.join(stay, (F.col("doc_id") == F.col("__doc_id")) & (F.col("tx") == F.col("__tx")), "left_semi").select(F.col("doc_id").alias("__again"), F.col("tx").alias("__again_tx")), "dedup-again")
+    free = docs.join(signed.where("n_shingles = 0").select(F.col("doc_id").alias("__doc_id"), F.col("tx").alias("__tx")).where("__doc_id IS NOT NULL").distinct().unionByName(stay), _row_is(docs, "__doc_id", "__tx"), "left_semi")
+    once = free.join(again, _row_is(docs, "__again", "__again_tx"), "left_anti")
+    repeated = free.join(again, _row_is(docs, "__again", "__again_tx"), "left_semi")
+    row = F.struct(*[repeated[c] for c in docs.columns])
+    single = repeated.groupBy(repeated["doc_id"].cast("long"), F.xxhash64(repeated["text"].cast("string"))).agg(F.min_by(row, F.xxhash64(*[repeated[c] for c in docs.columns])).alias("row")).select("row.*")
+    return once.unionByName(single).unionByName(docs.where(docs["doc_id"].cast("long").isNull()))
+
+
+def _row_is(docs: DataFrame, doc_id: str, tx: str) -> Column:
+    return (docs["doc_id"].cast("long") == F.col(doc_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(tx))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
