@@ -299,7 +299,7 @@ def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # the largest family of a centre need not meet itself
     large = rows.select("c", "x", "family").distinct().groupBy("c", "family").agg(F.count("*").alias("members")).groupBy("c").agg(F.max_by("family", F.struct("members", "family")).alias("large"))
     mixed = rows.groupBy("c", "e").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("c", "e")
-    rows = rows.join(mixed, ["c", "e"]).join(large, "c")
+    rows = common.join_small(rows.join(mixed, ["c", "e"]), large, "c", "inner")
     few = rows.where("family <> large").drop("large")
     other = rows.select("c", "e", F.col("x").alias("y"), F.col("n").alias("m"), F.col("family").alias("kin"), F.col("d").alias("f"), F.col("rank").alias("place"), F.col("large"))
     overlap = F.ceil((F.col("d") + F.col("f") - F.floor((F.col("n") + F.col("m")) * F.lit(100 - percent) / F.lit(100 + percent))) / 2)
