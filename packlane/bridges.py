@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.codes import CODES
+from .operators import nested, rules, scan
 from .operators import relations as rel
-from .operators import rules, scan
-from .plans import read, write
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,8 +127,7 @@ def flag_method_predicates(spark, sf_dir):
     ("b_named",),
 )
 def entry_lookup_first(spark, sf_dir):
-    e = _view(spark, sf_dir, "b_named")
-    return rel.marker(e).join(rel.lookup(e, "mimetype").select("package_id", "is_first"), "package_id", "left")
+    return rel.marker(_view(spark, sf_dir, "b_named")).select("package_id", "entry_index", "marker", (F.col("exact") == 0).alias("is_first"))
 
 
 # -- names ---------------------------------------------------------------------------
@@ -181,32 +179,36 @@ def fold_collision(spark, sf_dir):
     return rel.fold_collisions(spark.sql(FOLDED))
 
 
-NFC = "SELECT doc_id % 50 AS package_id, doc_id AS entry_index, concat(lang, '/', source) AS path FROM documents"
+#: Composed and decomposed letters in two cases: NFC and lower case decide whether paths collide.
+NFC = """SELECT doc_id % 8 AS package_id, doc_id AS entry_index, concat(lang, '/', CASE doc_id % 4 WHEN 0 THEN concat('e', chr(769)) WHEN 1 THEN chr(233) WHEN 2 THEN concat('E', chr(769)) ELSE 'plain' END, CASE WHEN doc_id % 7 = 0 THEN 'X' ELSE CAST(doc_id % 11 AS STRING) END) AS path FROM documents"""
 
 
 @query(
     "output_collision_nfc",
-    f"""WITH e AS ({NFC}), w AS (SELECT *, row_number() OVER (PARTITION BY package_id, lower(nfc_normalize(path)) ORDER BY entry_index) AS n FROM e)
+    f"""WITH e AS ({NFC.replace("AS STRING", "AS VARCHAR")}), w AS (SELECT *, row_number() OVER (PARTITION BY package_id, lower(nfc_normalize(path)) ORDER BY entry_index) AS n FROM e)
     SELECT package_id, min(entry_index) AS entry_index, 'extract.ambiguous.collision' AS code FROM w WHERE n > 1 GROUP BY package_id""",
 )
 def output_collision_nfc(spark, sf_dir):
     _tables(spark, sf_dir, "documents")
-    return rel.output_collisions(scan.add_keys(spark.sql(NFC)))
+    # Spark's chr stops at 255
+    return rel.collisions(scan.add_keys(spark.sql(NFC.replace("chr(769)", "decode(unhex('CC81'), 'UTF-8')"))).withColumn("entry_index", F.col("entry_index").cast("int"))).withColumn("entry_index", F.col("entry_index").cast("long"))
 
 
-KEYS = "SELECT package_id, entry_index, CASE WHEN k % 29 = 0 THEN 'payload' WHEN k % 31 = 0 THEN 'krx/ocd' ELSE lower(name) END AS key_ FROM b_named"
+KEYS = "SELECT package_id, CAST(entry_index AS INT) AS entry_index, CASE WHEN k % 29 = 0 THEN 'payload' WHEN k % 31 = 0 THEN 'krx/ocd' ELSE lower(name) END AS key_ FROM b_named"
 
 
 @query(
     "file_dir_conflict",
-    f"""WITH f AS ({KEYS}), u AS (SELECT package_id, entry_index, string_split(key_, '/') AS p, unnest(range(1, len(string_split(key_, '/')))) AS d FROM f),
+    f"""WITH f AS (SELECT package_id, key_, min(entry_index) AS entry_index FROM ({KEYS}) GROUP BY ALL), u AS (SELECT package_id, entry_index, string_split(key_, '/') AS p, unnest(range(1, len(string_split(key_, '/')))) AS d FROM f),
     h AS (SELECT u.package_id, greatest(u.entry_index, f.entry_index) AS e FROM u JOIN f ON f.package_id = u.package_id AND f.key_ = array_to_string(u.p[1:u.d], '/'))
     SELECT package_id, min(e) AS entry_index, 'extract.ambiguous.file_directory_conflict' AS code FROM h GROUP BY package_id""",
     ("b_named",),
 )
 def file_dir_conflict(spark, sf_dir):
     _view(spark, sf_dir, "b_named").createOrReplaceTempView("b_named")
-    return rel.directory_conflicts(spark.sql(KEYS).withColumnRenamed("key_", "key"))
+    # files that stand twice are told apart, as only conflicts with directories are asked for
+    keys = spark.sql(KEYS).withColumnRenamed("key_", "key").groupBy("package_id", "key").agg(F.min("entry_index").alias("entry_index"))
+    return rel.collisions(keys)
 
 
 @query(
@@ -264,7 +266,7 @@ OUTCOMES = """SELECT o_orderkey AS package_id, 'metadata_location' AS check, 'pa
     UNION ALL SELECT o_orderkey, 'root_prefix', 'unresolved', NULL, 'A19' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'marker_entry', 'unresolved', NULL, 'A19' FROM orders WHERE o_orderkey % 6 = 0
     UNION ALL SELECT o_orderkey, 'declared_size', 'unresolved', NULL, 'M13' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'attachment_count', 'fail', 'metadata.count_mismatch', NULL FROM orders WHERE o_orderkey % 7 = 0"""
 
-_ORD = ", ".join(f"({i}, '{c}')" for i, c in enumerate(rel.CHECKS))
+_ORD = ", ".join(f"({i}, '{c}')" for i, c in enumerate(nested.CHECKS))
 
 
 @query(
@@ -277,9 +279,9 @@ _ORD = ", ".join(f"({i}, '{c}')" for i, c in enumerate(rel.CHECKS))
 )
 def check_matrix_summary(spark, sf_dir):
     _tables(spark, sf_dir, "orders")
-    matrix = rel.check_matrix(spark.sql("SELECT o_orderkey AS package_id FROM orders"), spark.sql(OUTCOMES))
-    na = matrix.groupBy("package_id").agg(F.count_if(F.col("outcome") == "not_applicable").alias("not_applicable"))
-    return rel.summaries(matrix).join(na, "package_id").select("package_id", "summary", "exit_status", "not_applicable", F.array_join("unresolved_rules", ",").alias("rules"))
+    done = rel.summaries(rel.check_matrix(spark.sql("SELECT o_orderkey AS package_id FROM orders"), spark.sql(OUTCOMES)))
+    na = F.size(F.filter("checks", lambda c: c["outcome"] == "not_applicable")).cast("long")
+    return done.select("package_id", "summary", "exit_status", na.alias("not_applicable"), F.array_join("unresolved_rules", ",").alias("rules"))
 
 
 @query(
@@ -328,8 +330,11 @@ PLANNED = """SELECT package_id, entry_index, CASE WHEN k % 37 = 0 THEN NULL WHEN
 )
 def extraction_plan(spark, sf_dir):
     _view(spark, sf_dir, "b_named").createOrReplaceTempView("b_named")
-    items, failures = rel.plan(spark.sql(PLANNED), scan.add_keys, files=12, total=3_000_000)
-    return failures.select("package_id", "entry_index", "code").unionByName(items.select("package_id", "entry_index", F.lit("planned").alias("code")))
+    e = scan.add_keys(spark.sql(PLANNED).withColumnRenamed("name", "path").withColumn("entry_index", F.col("entry_index").cast("int")))
+    made = rel.plan(e, files=12, total=3_000_000)
+    entry = lambda i, code: F.struct(i.cast("long").alias("entry_index"), code.alias("code"))
+    rows = F.when(F.col("failure").isNotNull(), F.array(entry(F.col("failure.entry_index"), F.col("failure.code")))).otherwise(F.transform("items", lambda i: entry(i["entry_index"], F.lit("planned"))))
+    return made.select("package_id", F.inline(rows))
 
 
 @query(
@@ -456,19 +461,6 @@ def classify_codes(spark, sf_dir):
     return spark.sql(CODED).select("*", c.alias("category"), rules.exit_status(c).alias("exit_status"))
 
 
-@query(
-    "corpus_report",
-    """WITH c AS (SELECT package_id, count(*) AS n FROM b_items GROUP BY package_id), p AS (SELECT DISTINCT package_id, root_prefix FROM b_refs)
-    SELECT 'entry_count' AS section, CASE WHEN n < 5 THEN '1-4' WHEN n < 10 THEN '5-9' WHEN n < 50 THEN '10-49' ELSE '50+' END AS label, count(*) AS n FROM c GROUP BY 2
-    UNION ALL SELECT 'root_prefix', CASE WHEN root_prefix IS NULL THEN 'none-observed' WHEN root_prefix = '' THEN 'empty' WHEN root_prefix IN ('KRX/OCD/', 'OCD/', 'KRX/') THEN root_prefix ELSE 'other' END, count(*) FROM p GROUP BY 2""",
-    ("b_items", "b_refs"),
-)
-def corpus_report(spark, sf_dir):
-    counts = _view(spark, sf_dir, "b_items").groupBy("package_id").agg(F.count("*").alias("n"))
-    prefixes = _view(spark, sf_dir, "b_refs").select("package_id", "root_prefix").distinct()
-    return rel.report([("entry_count", counts, rel.entry_bucket(F.col("n"))), ("root_prefix", prefixes, rel.prefix_class(F.col("root_prefix")))])
-
-
 @query("hex_listing", "SELECT p_partkey, lpad(lower(hex(p_partkey)), 8, '0') AS crc32, CASE WHEN p_partkey % 3 = 0 THEN 'ff' || lower(hex(p_name)) END AS name_hex FROM part")
 def hex_listing(spark, sf_dir):
     _tables(spark, sf_dir, "part")
@@ -482,17 +474,27 @@ def crc32_column(spark, sf_dir):
     return spark.table("pages").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc32"), rules.crc_hex(F.crc32(F.col("html").cast("binary"))).alias("crc32_hex"))
 
 
-@query("terminal_escape")
+_HIDDEN = "[\\x{00}-\\x{1f}\\x{7f}-\\x{9f}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{feff}\\x{fff9}-\\x{fffb}]"
+
+
+@query(
+    "terminal_escape",
+    f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(substr(text, 1, 200), '(?s).'), lambda c: CASE WHEN regexp_matches(c, '{_HIDDEN}') THEN printf('\\u{{%04x}}', unicode(c)) ELSE c END), '') || CASE WHEN length(text) > 200 THEN chr(8230) || '[+' || (length(text) - 200) || ']' ELSE '' END AS shown FROM documents""",
+)
 def terminal_escape(spark, sf_dir):
     _tables(spark, sf_dir, "documents")
     return spark.table("documents").select("doc_id", scan.terminal_safe(F.col("text").cast("binary")).alias("shown"))
 
 
-@query("code_catalogue")
+@query(
+    "code_catalogue",
+    f"""SELECT code, c AS category, CASE c WHEN 'input' THEN 5 WHEN 'limit' THEN 8 WHEN 'unsupported' THEN 7 WHEN 'inconsistent' THEN 3 WHEN 'output' THEN 9 ELSE 6 END AS exit_status
+    FROM (SELECT code, CASE WHEN a IN ('input', 'output') THEN a WHEN b = 'over_limit' THEN 'limit' WHEN b = 'unsupported' THEN 'unsupported' WHEN b IN ('missing', 'reference', 'count_mismatch') THEN 'inconsistent' ELSE 'package' END AS c
+      FROM (SELECT code, string_split(code, '.')[1] AS a, string_split(code, '.')[2] AS b FROM (VALUES {", ".join(f"('{c}')" for c in CODES)}) v(code)))""",
+)
 def code_catalogue(spark, sf_dir):
-
-
-    return spark.createDataFrame([(c,) for c in CODES], "code string").withColumn("category", rules.category(F.col("code"))).withColumn("exit_status", rules.exit_status(F.col("category")))
+    rows = spark.createDataFrame([(c,) for c in CODES], "code string")
+    return rows.withColumn("category", rules.category(F.col("code"))).withColumn("exit_status", rules.exit_status(F.col("category")))
 
 
 @query("declared_path", "SELECT page_id, CASE WHEN rtrim(l, '/') = '' THEN url ELSE rtrim(l, '/') || '/' || url END AS path FROM (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a/b//' ELSE 'c' END AS l FROM pages)")
@@ -500,59 +502,3 @@ def declared_path(spark, sf_dir):
     _tables(spark, sf_dir, "pages")
     at = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, "a/b//").otherwise("c")
     return spark.table("pages").select("page_id", rules.declared_path(at, F.col("url")).alias("path"))
-
-
-# -- round trips ----------------------------------------------------------------------------------
-
-
-def specs(docs: DataFrame) -> DataFrame:
-    """A package for every 8 documents, each an attachment."""
-    header = "named_struct('version', 'v0.9', 'source_system', 'KER', 'consignment_id', concat('SYN-', package_id), 'created_at_text', '2026-01-02T03:04:05.000+01:00', 'consignment_kind', 'KULDEMENY', 'test', false, 'test_present', true, 'barcode', CAST(NULL AS STRING), 'reference_id', CAST(NULL AS STRING), 'error_code', CAST(NULL AS STRING), 'note', CAST(NULL AS STRING))"
-    meta = f"named_struct('header', {header}, 'receipt_present', false, 'openings_present', false, 'return_receipt_present', false, 'dispatches', array(named_struct('declared_attachment_count', CAST(NULL AS BIGINT), 'attachments_present', false, 'handling_instructions_unqualified', false, 'attachments', CAST(array() AS {_REFS}))), 'unknown_elements', 0)"
-    packed = docs.groupBy(F.floor(F.col("doc_id") / 8).cast("string").alias("package_id")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt")).alias("file_name"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), F.col("lang").alias("description")))).alias("a")
-    )
-    return packed.select("package_id", F.expr(meta).alias("metadata"), F.expr("transform(a, x -> named_struct('file_name', x.file_name, 'bytes', x.bytes, 'description', x.description, 'quantity', CAST(NULL AS STRING), 'quantity_unit', CAST(NULL AS STRING)))").alias("attachments"))
-
-
-_REFS = f"array<struct<{scan.REFERENCE}>>"
-
-
-def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return scan.pack(specs(docs)).select("package_id", "content")
-
-
-@query(
-    "roundtrip_write_scan",
-    """SELECT (doc_id // 8)::VARCHAR AS package_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) + 1 AS entry_index, 'KRX/OCD/Payload/ID-' || row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) || '/doc-' || doc_id || '.txt' AS name, strlen(coalesce(text, '')) AS decoded_size FROM documents""",
-)
-def roundtrip_write_scan(spark, sf_dir):
-    e = read.entries(scan.scan(_written(spark, sf_dir)))
-    return e.where("entry_index > 1").select("package_id", F.col("entry_index").cast("long").alias("entry_index"), F.col("name_text").alias("name"), "decoded_size")
-
-
-@query("roundtrip_checks", "SELECT (doc_id // 8)::VARCHAR AS package_id, 'unresolved' AS summary, 4 AS exit_status, count(*) AS attachments FROM documents GROUP BY 1")
-def roundtrip_checks(spark, sf_dir):
-    scanned = scan.scan(_written(spark, sf_dir))
-    n = read.attachments(read.observed(scanned)).groupBy("package_id").agg(F.count("*").alias("attachments"))
-    return read.validate(scanned).join(n, "package_id").select("package_id", "summary", "exit_status", "attachments")
-
-
-@query("roundtrip_repack_identity", "SELECT DISTINCT (doc_id // 8)::VARCHAR AS package_id, TRUE AS same FROM documents")
-def roundtrip_repack_identity(spark, sf_dir):
-    made = _written(spark, sf_dir)
-    nothing = made.select("package_id").select("package_id", *[F.expr(f"CAST(NULL AS {kind}) AS {name}") for name, kind in _edit_columns()])
-    again = write.repack(made, nothing).select("package_id", F.col("content").alias("again"))
-    return made.join(again, "package_id").select("package_id", F.col("content").eqNullSafe(F.col("again")).alias("same"))
-
-
-def _edit_columns() -> list[tuple[str, str]]:
-    return [("remove", "array<int>"), ("replace", "array<struct<number: int, bytes: binary>>"), ("add", "array<struct<file_name: string, bytes: binary, description: string>>"), ("header", f"map<string, {write.OP}>")]
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roundtrip_checks(spark, sf_dir)
-
-

@@ -56,6 +56,8 @@ def fold_name(name: bytes) -> bytes:
 
 def collision_key(path: str) -> str:
     """NFC of each component, then the lower case of each character on its own."""
+    if path.isascii():
+        return path.lower()
     return "/".join("".join(x.lower() for x in unicodedata.normalize("NFC", c)) for c in path.split("/"))
 
 

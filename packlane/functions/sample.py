@@ -88,3 +88,13 @@ def goldens() -> dict[str, bytes]:
         "malformed": good[: len(good) // 2],
         "over-limit": archive([Item(f"entry-{i:04}.bin".encode(), b"x") for i in range(300)]),
     }
+
+
+def written_package(files: list[tuple[str, bytes]]) -> bytes:
+    """A package as the writer makes it."""
+    from .zipwrite import write
+
+    header = {"version": "v0.9", "source_system": "KER", "consignment_id": "SYN-0002", "created_at_text": "t", "consignment_kind": "NYUGTA", "test": False, "test_present": True, "barcode": None, "reference_id": None, "error_code": None, "note": None}
+    dispatch = {"declared_attachment_count": None, "attachments_present": False, "handling_instructions_unqualified": False, "attachments": []}
+    meta = {"header": header, "receipt_present": False, "openings_present": False, "return_receipt_present": False, "dispatches": [dispatch], "unknown_elements": 0}
+    return write({"metadata": meta, "attachments": [{"file_name": n, "bytes": b} for n, b in files]})

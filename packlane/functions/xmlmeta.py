@@ -54,6 +54,8 @@ TARGET, UNBOUND, FOREIGN = "target", "unbound", "foreign"
 PREDEFINED = {"amp": "&", "lt": "<", "gt": ">", "apos": "'", "quot": '"'}
 _BLANK = b" \t\r\n"
 _ATTRIBUTE = re.compile(rb"[ \t\r\n]*([^ \t\r\n=\"'<>/]+)[ \t\r\n]*=[ \t\r\n]*(?:\"([^\"]*)\"|'([^']*)')")
+_BLANKS = re.compile(rb"[ \t\r\n]")
+_TAG = re.compile(rb"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>")
 _INTEGER = re.compile(r"[+-]?[0-9]+")
 _FLOAT = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
 
@@ -178,14 +180,15 @@ class Events:
                 raise unsupported("encoding")
 
     def _element(self, body: bytes) -> tuple[str, str, str]:
-        stop = next((i for i, b in enumerate(body) if b in _BLANK), len(body))
+        stop = m.start() if (m := _BLANKS.search(body)) else len(body)
         name, rest = body[:stop], body[stop:]
         if not name:
             raise malformed("syntax")
         scope = dict(self.open[-1][1]) if self.open else {"xml": "http://www.w3.org/XML/1998/namespace"}
-        for key, value in _attributes(rest, strict=False):
-            if key == b"xmlns" or key.startswith(b"xmlns:"):
-                scope[key[6:].decode(errors="replace")] = value.decode(errors="replace")
+        if b"xmlns" in rest:
+            for key, value in _attributes(rest, strict=False):
+                if key == b"xmlns" or key.startswith(b"xmlns:"):
+                    scope[key[6:].decode(errors="replace")] = value.decode(errors="replace")
         prefix, colon, local = _text(name).partition(":")
         if not colon:
             prefix, local = "", prefix
@@ -225,8 +228,8 @@ def _unescape(raw: bytes) -> str:
 
 
 def _attributes(raw: bytes, strict: bool = True) -> Iterator[tuple[bytes, bytes]]:
-    at = 0
-    while raw[at:].strip(_BLANK):
+    at, end = 0, len(raw.rstrip(_BLANK))
+    while at < end:
         m = _ATTRIBUTE.match(raw, at)
         if not m:
             if strict:
@@ -238,16 +241,10 @@ def _attributes(raw: bytes, strict: bool = True) -> Iterator[tuple[bytes, bytes]
 
 def _tag_end(raw: bytes, at: int) -> int:
     """Where a tag closes, leaving out what is quoted."""
-    quote = 0
-    for i in range(at + 1, len(raw)):
-        b = raw[i]
-        if quote:
-            quote = 0 if b == quote else quote
-        elif b in b"\"'":
-            quote = b
-        elif b == 0x3E:
-            return i
-    raise malformed("syntax")
+    m = _TAG.match(raw, at + 1)
+    if not m:
+        raise malformed("syntax")
+    return m.end() - 1
 
 
 class Document:

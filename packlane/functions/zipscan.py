@@ -45,7 +45,7 @@ class Entry:
             "entry_index": self.index, "name": self.name, "name_text": text, "name_hex": None if text is not None else self.name.hex(), "utf8_flag": bool(self.flags & UTF8),
             "flags": self.flags, "method": self.method, "method_name": "stored" if self.method == STORED else "deflate", "compressed_size": self.packed, "declared_size": self.size,
             "decoded_size": self.decoded, "crc32": self.crc, "local_header_offset": self.offset, "version_made_by": self.made_by, "external_attributes": self.attributes,
-            "kind": names.kind(self.made_by, self.attributes, self.name), "data_start": self.data_start, "data_end": self.data_end, "region_end": self.region_end,
+            "kind": names.kind(self.made_by, self.attributes, self.name), "path_key": None if text is None else names.collision_key(text), "data_start": self.data_start, "data_end": self.data_end, "region_end": self.region_end,
         }
 
 
@@ -66,8 +66,8 @@ class Inventory:
         return b"".join(out)
 
 
-def scan(image: bytes, limits: ArchiveLimits = ArchiveLimits()) -> Inventory:
-    """The inventory of an image; raises the first Violation."""
+def scan(image: bytes, limits: ArchiveLimits = ArchiveLimits(), contents: list[bytes] | None = None) -> Inventory:
+    """The inventory of an image; raises the first Violation. What is decoded on the way goes to contents where it is given."""
     within(len(image), limits.archive, "archive.over_limit.archive_bytes")
     start, count, directory = _end_record(image, limits)
     found = Inventory(image, _directory(image, directory, start, count, limits))
@@ -76,8 +76,11 @@ def scan(image: bytes, limits: ArchiveLimits = ArchiveLimits()) -> Inventory:
     _coverage(found.entries, directory)
     total = 0
     for e in found.entries:
-        e.decoded = _decode(image, e, total, limits, None)
+        pieces: list[bytes] | None = None if contents is None else []
+        e.decoded = _decode(image, e, total, limits, pieces)
         total += e.decoded
+        if contents is not None:
+            contents.append(b"".join(pieces or []))
     return found
 
 

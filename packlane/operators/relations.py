@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rules
+from . import nested, rules
 
 KEY = "package_id"
 
@@ -31,20 +31,17 @@ def running_total(entries: DataFrame, limit: int) -> DataFrame:
     return entries.withColumn("total", total).withColumn("code", F.when(F.col("total") > limit, F.lit("archive.over_limit.total_decoded_bytes")))
 
 
-def lookup(entries: DataFrame, name: str) -> DataFrame:
-    """package_id, entry_index of the entry with this exact name, and whether it is the first."""
-    found = entries.where(F.col("name") == name).groupBy(KEY).agg(F.min("entry_index").alias("entry_index"))
-    return found.withColumn("is_first", F.col("entry_index") == 0)
+def together(rows: DataFrame, name: str, *columns: str, order: str | None = None) -> DataFrame:
+    """package_id and an array of the columns of its rows, ordered: the form that operators.nested works on."""
+    held = F.collect_list(F.struct(*([order] if order and order not in columns else []), *columns))
+    return rows.groupBy(KEY).agg((F.array_sort(held) if order else held).alias(name))
 
 
 def marker(entries: DataFrame) -> DataFrame:
-    """The marker of each package: a first entry of that exact name, else the first whose last segment is it; what it observes."""
-    last = F.element_at(F.split("name", "/", -1), -1)
-    shaped = entries.where(last == "mimetype")
-    rank = F.when((F.col("entry_index") == 0) & (F.col("name") == "mimetype"), -1).otherwise(F.col("entry_index"))
-    picked = shaped.groupBy(KEY).agg(F.min_by(F.struct("entry_index", "name"), rank).alias("m"))
-    seen = F.when(F.col("m.name") != "mimetype", "prefixed").when(F.col("m.entry_index") != 0, "not_first").otherwise("first")
-    return picked.select(KEY, F.col("m.entry_index").alias("entry_index"), seen.alias("marker"))
+    """The marker of each package that has one, and the index of the first entry of that exact name; entries(package_id, entry_index, name)."""
+    rows = together(entries.withColumn("name", F.col("name").cast("binary")), "e", "entry_index", "name", order="entry_index")
+    seen = rows.select(KEY, nested.marker(F.col("e")).alias("m"), nested.lookup(F.col("e"), nested.MARKER).alias("exact")).where("m IS NOT NULL")
+    return seen.select(KEY, "m.entry_index", "m.marker", "exact")
 
 
 # -- names --------------------------------------------------------------------
@@ -63,129 +60,70 @@ def _first(rows: DataFrame) -> DataFrame:
     return rows.groupBy(KEY).agg(F.min(F.struct("entry_index", "code")).alias("v")).select(KEY, "v.entry_index", "v.code")
 
 
-def output_collisions(files: DataFrame) -> DataFrame:
-    """package_id, entry_index, code of the first file whose key stood before; files(package_id, entry_index, key)."""
-    order = Window.partitionBy(KEY, "key").orderBy("entry_index")
-    later = files.select(KEY, "entry_index", F.row_number().over(order).alias("n")).where("n > 1")
-    return _first(later.withColumn("code", F.lit("extract.ambiguous.collision")))
-
-
-def directory_conflicts(files: DataFrame) -> DataFrame:
-    """package_id, entry_index, code: a proper prefix of a file's key is a file; the larger index is reported, the smallest of these first."""
-    parts = F.split("key", "/", -1)
-    above = files.select(KEY, F.col("entry_index").alias("inner"), F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, 1, d), "/")))).alias("key"))
-    hit = above.join(files.select(KEY, "key", "entry_index"), [KEY, "key"])
-    rows = hit.select(KEY, F.greatest("inner", "entry_index").alias("entry_index"), F.lit("extract.ambiguous.file_directory_conflict").alias("code"))
-    return _first(rows)
+def collisions(files: DataFrame) -> DataFrame:
+    """package_id, entry_index, code: the first file whose key stood before or is another's directory; files(package_id, entry_index, key)."""
+    rows = files.select(KEY, "entry_index", F.col("key").alias("path"), "key", F.lit("regular").alias("kind"), F.lit(0).cast("long").alias("decoded_size"))
+    held = together(rows, "items", "entry_index", "path", "key", "kind", "decoded_size", order="entry_index")
+    return held.select(KEY, nested.clash(F.col("items")).alias("v")).where("v IS NOT NULL").select(KEY, "v.*")
 
 
 def directories(files: DataFrame) -> DataFrame:
     """package_id, directory: every implied parent directory once; files(package_id, path)."""
-    parts = F.split("path", "/", -1)
-    return files.select(KEY, F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, 1, d), "/")))).alias("directory")).distinct()
+    return files.select(KEY, F.explode(nested.directories(F.array("path"))).alias("directory")).distinct()
 
 
 # -- references ----------------------------------------------------------------
 
-#: Root prefixes that are known: fixed values.
-PREFIXES = ("KRX/OCD/", "OCD/", "KRX/", "")
-
-
-def strip_prefix(path: Column) -> Column:
-    """The path without the longest known prefix."""
-    return F.when(F.startswith(path, F.lit("KRX/OCD/")), F.substring(path, 9, 1 << 30)).when(F.startswith(path, F.lit("OCD/")), F.substring(path, 5, 1 << 30)).when(F.startswith(path, F.lit("KRX/")), F.substring(path, 5, 1 << 30)).otherwise(path)
-
 
 def resolve(references: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each of references(package_id, ref, declared_path, root_prefix) with resolution and entry.
-
-    Candidates in order: the path as declared, then its tail under the observed
-    prefix and the known ones; the first that names an entry wins. Up to six
-    candidates a reference meet entries(package_id, entry_index, name) in one
-    equi-join, and partial aggregation keeps the best.
-    """
-    tail, path, seen = strip_prefix(F.col("declared_path")), F.col("declared_path"), F.coalesce("root_prefix", F.lit(""))
-    known = F.array_except(F.array(*map(F.lit, PREFIXES)), F.array(seen))
-    variants = F.transform(F.concat(F.array(seen), known), lambda p: F.concat(p, tail))
-    tried = F.concat(F.array(path), F.filter(variants, lambda v: v != path))
-    wanted = references.select(KEY, "ref", F.posexplode(tried).alias("rank", "name"))
-    hits = wanted.join(entries.select(KEY, "name", "entry_index"), [KEY, "name"])
-    best = hits.groupBy(KEY, "ref").agg(F.min(F.struct("rank", "entry_index")).alias("best"))
-    resolution = F.when(F.col("best").isNull(), "missing").when(F.col("best.rank") == 0, "resolved").otherwise("prefix_variant")
-    return references.join(best, [KEY, "ref"], "left").select(*references.columns, resolution.alias("resolution"), F.col("best.entry_index").alias("entry_index"))
+    """Each of references(package_id, ref, declared_path, root_prefix) with resolution and entry (see nested.resolve)."""
+    names = together(entries.withColumn("name", F.col("name").cast("binary")), "entries", "entry_index", "name", order="entry_index")
+    found = references.join(names, KEY, "left").withColumn("entries", F.coalesce("entries", F.array().cast(names.schema["entries"].dataType)))
+    return found.withColumn("r", nested.resolve(F.col("declared_path"), F.col("root_prefix").cast("binary"), F.col("entries"))).select(*references.columns, "r.resolution", "r.entry_index")
 
 
 def reference_outcomes(resolutions: DataFrame) -> DataFrame:
     """package_id, outcome, code, rule: missing fails, a prefix variant is unresolved."""
-    g = resolutions.groupBy(KEY).agg(F.bool_or(F.col("resolution") == "missing").alias("m"), F.bool_or(F.col("resolution") == "prefix_variant").alias("p"))
-    return g.select(
-        KEY,
-        F.when(F.col("m"), "fail").when(F.col("p"), "unresolved").otherwise("pass").alias("outcome"),
-        F.when(F.col("m"), "metadata.reference.missing_entry").alias("code"),
-        F.when(~F.col("m") & F.col("p"), "M14").alias("rule"),
-    )
+    g = resolutions.groupBy(KEY).agg(F.collect_set("resolution").alias("r"))
+    return g.select(KEY, nested.reference_outcome(F.col("r")).alias("o")).select(KEY, "o.*")
 
 
 def count_agrees(dispatches: DataFrame) -> DataFrame:
     """package_id, outcome over dispatches(package_id, declared, actual); not_applicable where none declares."""
-    ok = F.bool_and(F.when(F.col("declared").isNotNull(), F.col("declared") == F.col("actual")))
-    return dispatches.groupBy(KEY).agg(F.when(ok, "pass").when(~ok, "fail").otherwise("not_applicable").alias("outcome"))
+    return together(dispatches, "d", "declared", "actual").select(KEY, F.coalesce(nested.count_outcome(F.col("d")), F.lit("not_applicable")).alias("outcome"))
 
 
 def uniqueness(references: DataFrame) -> DataFrame:
     """package_id, outcome: no number and no declared path twice."""
-    g = references.groupBy(KEY).agg(F.count("*").alias("n"), F.countDistinct("number").alias("numbers"), F.countDistinct("declared_path").alias("paths"))
-    return g.select(KEY, F.when((F.col("n") > F.col("numbers")) | (F.col("n") > F.col("paths")), "fail").otherwise("pass").alias("outcome"))
+    return together(references, "r", "number", "declared_path").select(KEY, nested.unique_outcome(F.col("r")).alias("outcome"))
 
 
 # -- checks --------------------------------------------------------------------
 
-#: The checks in their order: fixed values.
-CHECKS = ("metadata_location", "metadata_file_name", "root_prefix", "marker_entry", "metadata_parse", "schema_optional_fields", "handling_instructions_form", "attachment_references", "attachment_count", "attachment_uniqueness", "declared_size")
 
-
-def check_matrix(packages: DataFrame, outcomes: DataFrame, checks: tuple[str, ...] = CHECKS) -> DataFrame:
-    """A row for each package and check in order; a check without an outcome is not_applicable."""
-    every = packages.select(KEY, F.posexplode(F.array(*map(F.lit, checks))).alias("ord", "check"))
-    return every.join(outcomes, [KEY, "check"], "left").select(KEY, "ord", "check", F.coalesce("outcome", F.lit("not_applicable")).alias("outcome"), "code", "rule")
+def check_matrix(packages: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """package_id, checks: the eleven checks in order; a check without an outcome is not_applicable. outcomes(package_id, check, outcome, code, rule)."""
+    held = together(outcomes, "o", "check", "outcome", "code", "rule")
+    own = lambda check: F.try_element_at(F.filter("o", lambda x: x["check"] == check), F.lit(1))
+    return packages.select(KEY).join(held, KEY, "left").select(KEY, nested.matrix([(c, own(c)) for c in nested.CHECKS]).alias("checks"))
 
 
 def summaries(matrix: DataFrame) -> DataFrame:
-    """package_id, summary, exit_status, unresolved_rules (in the order of first citation)."""
-    cited = F.array_sort(F.collect_list(F.when(F.col("outcome") == "unresolved", F.struct("ord", "rule"))))
-    summary = F.when(F.bool_or(F.col("outcome") == "fail"), "inconsistent").when(F.bool_or(F.col("outcome") == "unresolved"), "unresolved").otherwise("consistent")
-    g = matrix.groupBy(KEY).agg(summary.alias("summary"), F.array_distinct(F.transform(cited, lambda x: x["rule"])).alias("unresolved_rules"))
-    return g.withColumn("exit_status", F.when(F.col("summary") == "inconsistent", 3).when(F.col("summary") == "unresolved", 4).otherwise(0))
+    """package_id, checks, summary, unresolved_rules (in the order of first citation), exit_status."""
+    return matrix.select(KEY, "checks", nested.summary(F.col("checks")).alias("s")).select(KEY, "checks", "s.*")
 
 
 # -- extraction ----------------------------------------------------------------
 
 
-def plan(entries: DataFrame, keys, files: int = 256, total: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
-    """(items, failures): all files of a package to write, or its first violation.
+def plan(entries: DataFrame, files: int = 256, total: int = 128 << 20) -> DataFrame:
+    """package_id, items, failure: all files of a package to write, or its first violation (see nested.plan_failure).
 
-    entries(package_id, entry_index, name, kind, decoded_size); name is null
-    where it is no text. keys adds the column key to rows with a path.
+    entries(package_id, entry_index, path, key, kind, decoded_size); path is
+    null where a name is no text, and key is its collision key.
     """
-    rows = entries.where(F.col("kind") != "directory")
-    order = Window.partitionBy(KEY).orderBy("entry_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("n", F.count("*").over(order)).withColumn("upto", F.sum("decoded_size").over(order))
-    code = F.coalesce(
-        F.when(F.col("kind") == "symlink", F.lit("extract.unsupported.link")),
-        F.when(F.col("kind") == "special", F.lit("extract.unsupported.special_file")),
-        F.when(F.col("name").isNull(), F.lit("extract.unsupported.non_utf8_name")),
-        rules.unsafe_path(F.col("name")),
-        F.when(F.col("n") > files, F.lit("extract.over_limit.files")),
-        F.when(F.col("upto") > total, F.lit("extract.over_limit.total_bytes")),
-    )
-    rows = rows.withColumn("code", code)
-    entry = _first(rows.where(F.col("code").isNotNull()).select(KEY, "entry_index", "code"))
-    clean = keys(rows.select(KEY, "entry_index", F.col("name").alias("path"), "decoded_size").join(entry.select(KEY), KEY, "left_anti"))
-    collided = output_collisions(clean)
-    clear = clean.join(collided.select(KEY), KEY, "left_anti")
-    conflict = directory_conflicts(clear)
-    items = clear.join(conflict.select(KEY), KEY, "left_anti").drop("key")
-    return items, entry.unionByName(collided).unionByName(conflict)
+    rows = together(entries.where("kind <> 'directory'"), "items", "entry_index", "path", "key", "kind", "decoded_size", order="entry_index")
+    return rows.withColumn("failure", nested.plan_failure(F.col("items"), files, total))
 
 
 # -- writer and editor -----------------------------------------------------------
@@ -260,23 +198,3 @@ def strict_keys(requests: DataFrame, text: str, allowed: tuple[str, ...], requir
         ]
     )
     return requests.withColumn("code", code)
-
-
-# -- corpus ---------------------------------------------------------------------
-
-
-def entry_bucket(n: Column) -> Column:
-    return F.when(n < 1, "0").when(n < 5, "1-4").when(n < 10, "5-9").when(n < 50, "10-49").otherwise("50+")
-
-
-def prefix_class(prefix: Column) -> Column:
-    return F.when(prefix.isNull(), "none-observed").when(prefix == "", "empty").when(prefix == "KRX/OCD/", "KRX/OCD/").when(prefix == "OCD/", "OCD/").when(prefix == "KRX/", "KRX/").otherwise("other")
-
-
-def report(sections: list[tuple[str, DataFrame, Column]]) -> DataFrame:
-    """section, label, n in long form: counts of fixed labels only."""
-    out = None
-    for name, rows, label in sections:
-        part = rows.groupBy(label.alias("label")).agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "label", "n")
-        out = part if out is None else out.unionByName(part)
-    return out

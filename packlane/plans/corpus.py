@@ -1,82 +1,57 @@
-"""The corpus report: counts of fixed labels. Names are classified and dropped; package_id stays out."""
+"""The corpus report: counts of fixed labels. Names are classified and dropped; package_id stays out.
+
+Each package gives its labels as one array, so the report is one scan, one
+explode and one aggregate of at most a few hundred labels.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import relations as rel
-from ..operators import rules
+from ..operators import nested, rules
 from . import read
 
-UNSEEN = "not observed"
-
-
-def prefix_class(prefix: Column) -> Column:
-    return F.when(prefix.isNull(), UNSEEN).when(prefix == "", "none (entries start at the profile directories)").when(prefix.isin("KRX/OCD/", "OCD/"), prefix).otherwise("other prefix")
-
-
-def casing_class(name: Column) -> Column:
-    leaf = F.element_at(F.split(name, "/", -1), -1)
-    stem, ext = F.regexp_extract(leaf, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(leaf, r"^(.*)\.([^.]*)$", 2)
-    upper = lambda c: (c == F.upper(c)) & (c != F.lower(c))
-    lower = lambda c: (c == F.lower(c)) & (c != F.upper(c))
-    return (
-        F.when(name.isNull() | (name == ""), UNSEEN)
-        .when(upper(stem) & lower(ext), "upper-case stem, lower-case extension")
-        .when(lower(stem) & lower(ext), "lower-case stem, lower-case extension")
-        .when(upper(stem) & upper(ext), "upper-case stem, upper-case extension")
-        .otherwise("other casing")
+#: The sections in their order: fixed values. No process is run for a package, so anomalies stays empty.
+SECTIONS = ("packages", "exit_status", "codes", "categories", "checks", "root_prefix", "file_name_casing", "marker", "payload", "entry_count", "anomalies")
+COMMANDS = ("inspect", "list", "validate-structure")
+NONE = "(none)"
+
+
+def labels() -> Column:
+    """array of struct(section, label) of a row of read.checked."""
+    code, bad = F.col("violation.code"), F.col("violation").isNotNull()
+    category = rules.category(code)
+    status = rules.exit_status(category)
+
+    def some(section: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(section).alias("section"), v.cast("string").alias("label")))
+
+    def one(section: str, good: Column) -> Column:
+        return some(section, F.array(F.when(bad, nested.UNSEEN).otherwise(good)))
+
+    def failed(section: str, values: list[Column]) -> Column:
+        return some(section, F.when(bad, F.array(*values)).otherwise(F.array().cast("array<string>")))
+
+    ended = [F.concat(F.lit(f"{c} exit "), F.coalesce(status, F.col("verdict.exit_status") if c == COMMANDS[2] else F.lit(0)).cast("string")) for c in COMMANDS]
+    outcome = F.transform(F.coalesce("checks", F.array().cast(f"array<{nested.CHECK}>")), lambda c: F.concat_ws(" ", c["check"], c["outcome"], F.coalesce(c["code"], c["rule"])))
+    entries = F.col("entries")
+    return F.concat(
+        some("packages", F.array(F.lit("packages read"))),
+        some("exit_status", F.array(*ended)),
+        failed("codes", [F.concat(F.lit(f"{c} "), code) for c in COMMANDS]),
+        failed("categories", [category] * len(COMMANDS)),
+        some("checks", outcome),
+        one("root_prefix", nested.prefix_class(read.text_of(F.col("document.prefix")))),
+        one("file_name_casing", nested.casing_class(read.text_of(F.col("document.name")))),
+        one("marker", nested.marker_class(entries)),
+        some("payload", F.when(bad, F.array(F.lit(nested.UNSEEN))).otherwise(nested.payload_classes(entries))),
+        one("entry_count", nested.entry_bucket(F.size(entries))),
     )
 
 
-def marker_class(entries: DataFrame) -> DataFrame:
-    """package_id, label by the first entry that is a marker or ends like one; entries(package_id, entry_index, name)."""
-    exact = F.col("name") == "mimetype"
-    label = F.when(exact & (F.col("entry_index") == 0), "first entry, at the archive root").when(exact, "present, not the first entry").when(F.endswith("name", F.lit("/mimetype")), "present under a directory prefix")
-    g = entries.withColumn("label", label).groupBy(rel.KEY).agg(F.min_by("label", F.when(F.col("label").isNotNull(), F.col("entry_index"))).alias("label"))
-    return g.select(rel.KEY, F.coalesce("label", F.lit("no marker entry")).alias("label"))
-
-
-def payload_classes(entries: DataFrame) -> DataFrame:
-    """package_id, label: each spelling of payload directories once for a package."""
-    parts = F.split("name", "/", -1)
-    inner = F.filter(F.arrays_zip(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))).alias("above"), F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))).alias("segment")), lambda p: p["above"] == "Payload")
-    spelled = lambda s: F.when(s.rlike(r"^ID-\d+$"), "ID-<n>").when(s.rlike(r"^ID_\d+$"), "ID_<n>").when(s.rlike(r"^ID\d+$"), "ID<n>").otherwise("other spelling")
-    seen = entries.select(rel.KEY, F.explode_outer(F.transform(inner, lambda p: spelled(p["segment"]))).alias("label")).distinct()
-    any_ = F.max(F.col("label")).over(Window.partitionBy(rel.KEY))
-    return seen.withColumn("any", any_).where("label IS NOT NULL OR any IS NULL").select(rel.KEY, F.coalesce("label", F.lit("no payload subdirectory")).alias("label")).distinct()
-
-
 def report(scanned: DataFrame) -> DataFrame:
-    """section, label, n over a whole corpus."""
-    good = scanned.where("violation IS NULL")
-    named = read.entries(scanned).select(rel.KEY, "entry_index", F.coalesce("name_text", F.lit("")).alias("name"))
-    seen, failed = read.observed(scanned), scanned.where("violation IS NOT NULL")
-    unread = failed.select(F.lit(UNSEEN).alias("label"))
-    checked = read.validate(scanned)
-    by_command = None
-    for command in ("inspect", "list"):
-        done = good.select(F.concat(F.lit(f"{command} exit 0")).alias("label"))
-        bad = read.diagnostics(scanned, command).select(F.concat(F.lit(f"{command} exit "), F.col("exit_status")).alias("label"))
-        part = done.unionByName(bad)
-        by_command = part if by_command is None else by_command.unionByName(part)
-    by_command = by_command.unionByName(checked.select(F.concat(F.lit("validate-structure exit "), F.col("exit_status")).alias("label")))
-    failures = failed.select("violation.code").withColumn("command", F.explode(F.array(*map(F.lit, ("inspect", "list", "validate-structure")))))
-    label = F.col("label")
-    counted = seen.select(F.concat_ws("", rel.entry_bucket(F.col("entry_count"))).alias("label")).unionByName(unread)
-    matrix = read.checks(scanned)
-    return rel.report(
-        [
-            ("packages", scanned.select(F.lit("packages read").alias("label")), label),
-            ("exit_status", by_command, label),
-            ("codes", failures.select(F.concat_ws(" ", "command", "code").alias("label")), label),
-            ("categories", failures.select(rules.category(F.col("code")).alias("label")), label),
-            ("root_prefix", seen.select(prefix_class(F.col("root_prefix")).alias("label")).unionByName(unread), label),
-            ("file_name_casing", seen.select(casing_class(F.col("metadata_entry_name")).alias("label")).unionByName(unread), label),
-            ("marker", marker_class(named).select("label").unionByName(unread), label),
-            ("payload", payload_classes(named).select("label").unionByName(unread), label),
-            ("entry_count", counted.select("label"), label),
-            ("checks", matrix.select(F.concat_ws(" ", "check", "outcome", F.coalesce("code", "rule")).alias("label")), label),
-        ]
-    )
+    """section, label, n over a whole corpus; a section without labels has one row (none) with 0."""
+    counted = read.checked(scanned).select(F.inline(labels())).groupBy("section", "label").agg(F.count("*").alias("n"))
+    every = scanned.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"))
+    return every.join(counted, "section", "left").select("section", F.coalesce("label", F.lit(NONE)).alias("label"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -4,31 +4,46 @@ from __future__ import annotations
 
 import os
 import stat
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.failure import Violation
-from ..functions.limits import PlanLimits
-from ..operators import relations as rel
-from ..operators import scan
-from . import read
+from ..functions.limits import ArchiveLimits, PlanLimits
+from ..operators import nested, scan
 
+KEY = "package_id"
 MARK = ".packlane-incomplete"
 
 
+def planned(scanned: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
+    """scanned with items (the files to write, in order) and failure, for packages that could be read."""
+    files = F.transform(F.filter("entries", lambda e: e["kind"] != "directory"), lambda e: F.struct(e["entry_index"].alias("entry_index"), e["name_text"].alias("path"), e["path_key"].alias("key"), e["kind"].alias("kind"), e["decoded_size"].alias("decoded_size")))
+    rows = scanned.where("violation IS NULL").withColumn("items", files)
+    return rows.withColumn("failure", nested.plan_failure(F.col("items"), limits.files, limits.total))
+
+
 def plan(scanned: DataFrame, limits: PlanLimits = PlanLimits()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, directories, failures) of readable packages."""
-    rows = read.entries(scanned).select(rel.KEY, "entry_index", F.col("name_text").alias("name"), "kind", "decoded_size")
-    items, failures = rel.plan(rows, scan.add_keys, limits.files, limits.total)
-    return items, rel.directories(items), failures
+    rows = planned(scanned, limits)
+    good = rows.where("failure IS NULL")
+    items = good.select(KEY, F.inline("items")).select(KEY, "entry_index", "path", "decoded_size")
+    above = good.select(KEY, F.explode(nested.directories(nested.field(F.col("items"), "path"))).alias("directory"))
+    return items, above, rows.where("failure IS NOT NULL").select(KEY, "failure.*")
+
+
+def _with_bytes(packages: DataFrame, limits: PlanLimits, archive: ArchiveLimits) -> DataFrame:
+    """Planned packages with files: path and bytes. Each image is scanned once, and its bytes stay in the task that read it."""
+    rows = planned(scan.scan(packages, archive, contents=True), limits).where("failure IS NULL")
+    files = F.transform("items", lambda i: F.struct(i["path"].alias("path"), F.element_at(F.col("contents"), i["entry_index"] + 1).alias("bytes")))
+    return rows.select(KEY, files.alias("files"))
 
 
-def tables(packages: DataFrame, scanned: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
+def tables(packages: DataFrame, limits: PlanLimits = PlanLimits(), archive: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """package_id, path, bytes of every planned file: what a corpus extraction writes as Parquet."""
-    items, _, _ = plan(scanned, limits)
-    return items.join(scan.contents(packages, items), [rel.KEY, "entry_index"]).select(rel.KEY, "path", "bytes")
+    return _with_bytes(packages, limits, archive).select(KEY, F.inline("files"))
 
 
 def _refuse(code: str) -> Violation:
@@ -117,24 +132,25 @@ def _absent(top: int, parts: list[str]) -> None:
     raise _refuse("exists")
 
 
-def files(packages: DataFrame, scanned: DataFrame, root: str) -> DataFrame:
+def files(packages: DataFrame, root: str, limits: PlanLimits = PlanLimits(), archive: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """Write each package below root/package_id on a folder that all executors share; a row for each: counts or a code.
 
-    A package is one group, bounded by the plan's ceilings. Speculation must be
+    A package's plan ceilings bound what a task holds. Speculation must be
     off; a task that is run again finds its files and reports them as existing.
     """
     kinds = "package_id string, files_written int, directories_created int, bytes_written long, code string"
+    schema = scan.arrow_schema(kinds)
 
-    def run(rows: pa.Table) -> pa.Table:
-        key = rows["package_id"][0].as_py()
-        base, out = os.path.join(root, key), {"files_written": 0, "directories_created": 0, "bytes_written": 0, "code": None}
-        try:
-            os.makedirs(base, exist_ok=True)
-            out |= write_files(base, sorted(zip(rows["path"].to_pylist(), rows["bytes"].to_pylist())))
-        except Violation as v:
-            out["code"] = v.code
-        return pa.table({"package_id": pa.array([key]), "files_written": pa.array([out["files_written"]], pa.int32()), "directories_created": pa.array([out["directories_created"]], pa.int32()), "bytes_written": pa.array([out["bytes_written"]], pa.int64()), "code": pa.array([out["code"]], pa.string())})
-
-    return tables(packages, scanned).groupBy("package_id").applyInArrow(run, kinds)
-
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for i in range(batch.num_rows):
+                key, held = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                base, out = os.path.join(root, key), {"package_id": key, "files_written": 0, "directories_created": 0, "bytes_written": 0, "code": None}
+                try:
+                    os.makedirs(base, exist_ok=True)
+                    out |= write_files(base, sorted((f["path"], f["bytes"]) for f in held))
+                except Violation as v:
+                    out["code"] = v.code
+                yield pa.RecordBatch.from_pylist([out], schema)
 
+    return _with_bytes(packages, limits, archive).mapInArrow(run, kinds)

@@ -1,14 +1,18 @@
-"""Read-side plans over scanned packages: entries, checks, observations, diagnostics, listings."""
+"""Read-side plans over scanned packages: entries, checks, observations, diagnostics, listings.
+
+Everything about a package is an expression on its one row (operators.nested):
+a plan scans each image once and shuffles nothing. Plans that share a scan take
+the frame that scan.scan gave, written or persisted where it is used twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import relations as rel
-from ..operators import rules
+from ..operators import nested, rules
 
-KEY = rel.KEY
+KEY = "package_id"
 
 
 def entries(scanned: DataFrame) -> DataFrame:
@@ -21,88 +25,96 @@ def listed(scanned: DataFrame) -> DataFrame:
     return entries(scanned).select(KEY, F.col("entry_index").alias("index"), F.col("name_text").alias("name"), F.col("utf8_flag").alias("name_utf8_flag"), "name_hex", F.col("method_name").alias("method"), "compressed_size", "declared_size", "decoded_size", rules.crc_hex(F.col("crc32")).alias("crc32"))
 
 
-def _candidate() -> Column:
-    """The entry shaped like the metadata document, by text name."""
-    shaped = lambda e: e["name_text"].rlike("(?i)(^|/)metalayer/kuldemeny_meta[.]xml$")
-    return F.when(F.col("candidates") == 1, F.try_element_at(F.filter("entries", shaped), F.lit(1)))
+def text_of(raw: Column) -> Column:
+    """The text of bytes, null where they are none."""
+    return F.when(F.is_valid_utf8(raw), raw.cast("string"))
 
 
-def observed(scanned: DataFrame) -> DataFrame:
-    """Observations of each readable package beside what later plans need."""
-    d = scanned.where("violation IS NULL").withColumn("candidate", _candidate())
-    name = F.col("candidate.name_text")
-    prefix = F.substring(name, F.lit(1), F.length(name) - 28)
-    marker = rel.marker(entries(scanned).select(KEY, "entry_index", F.coalesce("name_text", F.lit("")).alias("name"))).withColumnRenamed("entry_index", "marker_index")
-    return d.select(KEY, F.size("entries").alias("entry_count"), name.alias("metadata_entry_name"), F.col("candidate.entry_index").alias("metadata_entry_index"), F.when(F.col("candidates") == 1, prefix).alias("root_prefix"), "candidates", "metadata", "metadata_violation", "marker_content").join(marker, KEY, "left")
+def _attachments() -> Column:
+    """Every declared attachment with its place, its declared path, and the entry that it names."""
 
+    def one(d: Column, i: Column) -> Column:
+        def two(a: Column, j: Column) -> Column:
+            path = rules.declared_path(a["location"], a["file_name"])
+            found = nested.resolve(path, F.col("document.prefix"), F.col("entries"))
+            return F.struct(i.alias("dispatch_index"), j.alias("ordinal"), *[a[k].alias(k) for k in ("description", "number", "file_name", "size_text", "size_value", "location", "quantity", "quantity_unit")], path.alias("declared_path"), found["resolution"].alias("resolution"), found["entry_index"].alias("entry_index"))
 
-def attachments(seen: DataFrame) -> DataFrame:
-    """A row for each declared attachment, with its place and declared path."""
-    d = seen.where("metadata IS NOT NULL").select(KEY, "root_prefix", F.posexplode("metadata.dispatches").alias("dispatch_index", "d"))
-    a = d.select(KEY, "root_prefix", "dispatch_index", F.posexplode("d.attachments").alias("ordinal", "a")).select(KEY, "root_prefix", "dispatch_index", "ordinal", "a.*")
-    return a.withColumn("declared_path", rules.declared_path(F.col("location"), F.col("file_name"))).withColumn("ref", F.struct("dispatch_index", "ordinal"))
+        return F.transform(d["attachments"], two)
 
+    return F.flatten(F.transform("metadata.dispatches", one))
 
-def resolutions(scanned: DataFrame, seen: DataFrame) -> DataFrame:
-    """Each declared attachment, the entry that it resolves to, and that entry's size."""
-    rows = entries(scanned).select(KEY, "entry_index", F.col("name_text").alias("name"), "decoded_size")
-    found = rel.resolve(attachments(seen), rows)
-    return found.join(rows.select(KEY, "entry_index", F.col("decoded_size").alias("observed_size")), [KEY, "entry_index"], "left")
+
+def observed(scanned: DataFrame) -> DataFrame:
+    """scanned with the marker and the declared attachments of each package."""
+    return scanned.withColumns({"marker": nested.marker(F.col("entries")), "attachments": _attachments()})
 
 
-def outcomes(scanned: DataFrame, seen: DataFrame) -> DataFrame:
-    """package_id, check, outcome, code, rule, without the checks that do not apply."""
+def _checks() -> Column:
+    """The eleven checks of a row of observed."""
     one, parsed = F.col("candidates") == 1, F.col("metadata").isNotNull()
-    name = F.col("metadata_entry_name")
+    seen, every = F.col("marker.marker"), F.col("attachments")
 
-    def row(check: str, cases: list[tuple[Column, str, str | None, str | None]], applies: Column = F.lit(True)) -> Column:
+    def case(*cases: tuple[Column, str, str | Column | None, str | None], applies: Column = F.lit(True)) -> Column:
         out = F.lit(None)
-        kind = "struct<check: string, outcome: string, code: string, rule: string>"
-        made = [(hit, F.struct(F.lit(check).alias("check"), F.lit(o).alias("outcome"), (code if isinstance(code, Column) else F.lit(code).cast("string")).alias("code"), F.lit(rule).cast("string").alias("rule"))) for hit, o, code, rule in cases]
-        for hit, s in reversed(made):
-            out = F.when(hit, s.cast(kind)).otherwise(out)
+        for hit, outcome, code, rule in reversed(cases):
+            code = code if isinstance(code, Column) else F.lit(code).cast("string")
+            out = F.when(hit, F.struct(F.lit(outcome).alias("outcome"), code.alias("code"), F.lit(rule).cast("string").alias("rule"))).otherwise(out)
         return F.when(applies, out)
 
-    every = F.flatten(F.transform("metadata.dispatches", lambda d: d["attachments"]))
+    otherwise = F.lit(True)
     complete = F.col("metadata.header.test_present") & F.forall(every, lambda a: a["description"].isNotNull() & a["size_value"].isNotNull())
-    own = F.array(
-        row("metadata_location", [(one, "pass", None, None), (F.col("candidates") == 0, "fail", "metadata.missing", None), (F.lit(True), "fail", "metadata.ambiguous.multiple_candidates", None)]),
-        row("metadata_file_name", [(F.endswith(name, F.lit("Metalayer/KULDEMENY_META.xml")), "pass", None, None), (F.lit(True), "unresolved", None, "M12")], one),
-        row("root_prefix", [(F.col("root_prefix") == "KRX/OCD/", "pass", None, None), (F.lit(True), "unresolved", None, "A19")], one),
-        row(
-            "marker_entry",
-            [
-                (F.col("marker").isNull(), "fail", "metadata.malformed.marker_missing", None),
-                (F.col("marker") == "prefixed", "unresolved", None, "A19"),
-                (F.col("marker") == "not_first", "fail", "metadata.malformed.marker_not_first", None),
-                (F.col("marker_content"), "pass", None, None),
-                (F.lit(True), "fail", "metadata.malformed.marker_content", None),
-            ],
-        ),
-        row("metadata_parse", [(parsed, "pass", None, None), (F.lit(True), "fail", F.col("metadata_violation.code"), None)], one),
-        row("schema_optional_fields", [(complete, "pass", None, None), (F.lit(True), "unresolved", None, "M11")], parsed),
-        row("handling_instructions_form", [(F.lit(True), "pass", None, None)], parsed & F.exists("metadata.dispatches", lambda d: d["handling_instructions_unqualified"])),
-        row("declared_size", [(F.lit(True), "unresolved", None, "M13")], parsed & (F.size(every) > 0)),
+    references = nested.reference_outcome(nested.field(every, "resolution"))
+    count = nested.count_outcome(F.transform("metadata.dispatches", lambda d: F.struct(d["declared_attachment_count"].alias("declared"), F.size(d["attachments"]).cast("bigint").alias("actual"))))
+    unique = nested.unique_outcome(every)
+    return nested.matrix(
+        [
+            ("metadata_location", case((one, "pass", None, None), (F.col("candidates") == 0, "fail", "metadata.missing", None), (otherwise, "fail", "metadata.ambiguous.multiple_candidates", None))),
+            ("metadata_file_name", case((F.col("document.canonical"), "pass", None, None), (otherwise, "unresolved", None, "M12"), applies=one)),
+            ("root_prefix", case((F.col("document.prefix") == F.lit(b"KRX/OCD/"), "pass", None, None), (otherwise, "unresolved", None, "A19"), applies=one)),
+            (
+                "marker_entry",
+                case(
+                    (seen.isNull(), "fail", "metadata.malformed.marker_missing", None),
+                    (seen == "prefixed", "unresolved", None, "A19"),
+                    (seen == "not_first", "fail", "metadata.malformed.marker_not_first", None),
+                    (F.col("marker_content"), "pass", None, None),
+                    (otherwise, "fail", "metadata.malformed.marker_content", None),
+                ),
+            ),
+            ("metadata_parse", case((parsed, "pass", None, None), (otherwise, "fail", F.col("metadata_violation.code"), None), applies=one)),
+            ("schema_optional_fields", case((complete, "pass", None, None), (otherwise, "unresolved", None, "M11"), applies=parsed)),
+            ("handling_instructions_form", case((otherwise, "pass", None, None), applies=parsed & F.exists("metadata.dispatches", lambda d: d["handling_instructions_unqualified"]))),
+            ("attachment_references", F.when(parsed, references)),
+            ("attachment_count", case((count == "fail", "fail", "metadata.count_mismatch", None), (otherwise, "pass", None, None), applies=parsed & count.isNotNull())),
+            ("attachment_uniqueness", case((unique == "fail", "fail", "metadata.reference.duplicate", None), (otherwise, "pass", None, None), applies=parsed & unique.isNotNull())),
+            ("declared_size", case((otherwise, "unresolved", None, "M13"), applies=parsed & (F.size(every) > 0))),
+        ]
     )
-    # parts of the row that only hold where the document was parsed
-    plain = seen.select(KEY, F.explode(F.filter(own, lambda x: x.isNotNull())).alias("o")).select(KEY, "o.*")
-    declared = seen.where(parsed).select(KEY, F.inline("metadata.dispatches")).select(KEY, F.col("declared_attachment_count").alias("declared"), F.size("attachments").alias("actual"))
-    count = rel.count_agrees(declared).where("outcome <> 'not_applicable'").select(KEY, F.lit("attachment_count").alias("check"), "outcome", F.when(F.col("outcome") == "fail", "metadata.count_mismatch").alias("code"), F.lit(None).cast("string").alias("rule"))
-    unique = rel.uniqueness(attachments(seen)).select(KEY, F.lit("attachment_uniqueness").alias("check"), "outcome", F.when(F.col("outcome") == "fail", "metadata.reference.duplicate").alias("code"), F.lit(None).cast("string").alias("rule"))
-    found = rel.reference_outcomes(resolutions(scanned, seen)).select(KEY, F.lit("attachment_references").alias("check"), "outcome", "code", "rule")
-    return plain.unionByName(count).unionByName(unique).unionByName(found)
+
+
+def checked(scanned: DataFrame) -> DataFrame:
+    """observed with checks and their verdict (summary, unresolved_rules, exit_status); all three are null where the package could not be read."""
+    seen = observed(scanned).withColumn("checks", F.when(F.col("violation").isNull(), _checks()))
+    return seen.withColumn("verdict", F.when(F.col("checks").isNotNull(), nested.summary(F.col("checks"))))
 
 
 def checks(scanned: DataFrame) -> DataFrame:
     """Eleven rows in order for each readable package."""
-    seen = observed(scanned)
-    return rel.check_matrix(seen, outcomes(scanned, seen))
+    return checked(scanned).where("violation IS NULL").select(KEY, F.inline("checks"))
+
+
+def attachments(scanned: DataFrame) -> DataFrame:
+    """A row for each declared attachment, with its place, declared path and resolution."""
+    return observed(scanned).where("metadata IS NOT NULL").select(KEY, F.inline("attachments"))
+
+
+def _status() -> Column:
+    return rules.exit_status(rules.category(F.col("violation.code")))
 
 
 def validate(scanned: DataFrame) -> DataFrame:
     """package_id, summary, unresolved_rules, exit_status of every package, unreadable ones by the status of their code."""
-    failed = diagnostics(scanned, "validate-structure").select(KEY, F.lit(None).cast("string").alias("summary"), F.lit(None).cast("array<string>").alias("unresolved_rules"), "exit_status")
-    return rel.summaries(checks(scanned)).select(KEY, "summary", "unresolved_rules", "exit_status").unionByName(failed)
+    return checked(scanned).select(KEY, "verdict.summary", "verdict.unresolved_rules", F.coalesce("verdict.exit_status", _status()).alias("exit_status"))
 
 
 def diagnostics(scanned: DataFrame, command: str) -> DataFrame:
@@ -113,19 +125,26 @@ def diagnostics(scanned: DataFrame, command: str) -> DataFrame:
 
 def inspect(scanned: DataFrame) -> DataFrame:
     """One nested row for each readable package: observations, metadata, attachments, checks."""
-    seen = observed(scanned)
-    matrix = rel.check_matrix(seen, outcomes(scanned, seen))
-    held = matrix.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "check", "outcome", "code", "rule"))), lambda x: x.dropFields("ord")).alias("checks"))
-    refs = resolutions(scanned, seen).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("dispatch_index", "ordinal", "number", "declared_path", "resolution", "entry_index", "size_text", "size_value", "observed_size"))).alias("attachments"))
-    shown = F.when(F.col("marker") == "first", F.when(F.col("marker_content"), "matching").otherwise("content_mismatch")).otherwise(F.coalesce("marker", F.lit("missing")))
-    total = rules.saturating_sum(F.transform("metadata.dispatches", lambda d: d["declared_attachment_count"]))
-    return seen.join(held, KEY).join(refs, KEY, "left").select(
+    seen = checked(scanned).where("violation IS NULL")
+    place, first = F.col("marker.marker"), F.when(F.col("marker_content"), "matching").otherwise("content_mismatch")
+    name, prefix = F.col("document.name"), F.col("document.prefix")
+    size = lambda a: F.try_element_at(F.col("entries"), a["entry_index"] + 1)["decoded_size"]
+    shown = F.transform("attachments", lambda a: F.struct(*[a[k].alias(k) for k in ("dispatch_index", "ordinal", "number", "declared_path", "resolution", "entry_index", "size_text", "size_value")], size(a).alias("observed_size")))
+    return seen.select(
         KEY,
-        F.struct("entry_count", "root_prefix", "metadata_entry_name", "metadata_entry_index", shown.alias("marker")).alias("observations"),
+        F.struct(
+            F.size("entries").alias("entry_count"),
+            text_of(prefix).alias("root_prefix"),
+            rules.hex_unless_text(prefix).alias("root_prefix_hex"),
+            text_of(name).alias("metadata_entry_name"),
+            rules.hex_unless_text(name).alias("metadata_entry_name_hex"),
+            F.col("document.entry_index").alias("metadata_entry_index"),
+            F.when(place == "first", first).otherwise(F.coalesce(place, F.lit("missing"))).alias("marker"),
+        ).alias("observations"),
         "metadata.header",
-        total.alias("declared_attachment_count"),
-        "attachments",
-        "checks",
+        rules.saturating_sum(F.transform("metadata.dispatches", lambda d: d["declared_attachment_count"])).alias("declared_attachment_count"),
+        shown.alias("attachments"),
+        F.transform("checks", lambda c: c.dropFields("ord")).alias("checks"),
     )
 
 
@@ -138,3 +157,12 @@ def lines(diagnosed: DataFrame) -> DataFrame:
     """One line for each diagnostic, without content."""
     part = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(label), F.col(c).cast("string")))
     return diagnosed.select(KEY, F.concat_ws(" ", F.concat(F.lit("error: "), F.col("code")), part("entry ", "entry_index"), part("field ", "field"), part("attachment ", "attachment_index"), part("limit ", "limit_value"), part("observed ", "observed")).alias("line"))
+
+
+#: What the engine can do: fixed values.
+OPERATIONS = ("inspect", "list", "validate-structure", "extract", "create", "repack")
+
+
+def capabilities(spark) -> DataFrame:
+    """stage and operations of the engine."""
+    return spark.range(1).select(F.lit("reader-writer").alias("stage"), F.posexplode(F.array(*map(F.lit, OPERATIONS))).alias("place", "operation"))

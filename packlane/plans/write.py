@@ -17,11 +17,14 @@ from . import read
 
 
 def create(specs: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
-    """package_id, content, code of specs; what the reader would find inconsistent is refused as an internal error."""
-    made = scan.pack(specs, limits)
-    failed = read.checks(scan.scan(made.where("content IS NOT NULL"), limits)).where("outcome = 'fail'").select("package_id", F.lit(True).alias("bad")).distinct()
-    out = made.join(failed, "package_id", "left")
-    return out.select("package_id", F.when(F.col("bad").isNull(), F.col("content")).alias("content"), F.when(F.col("bad"), "create.internal.self_check_failed").otherwise(F.col("violation.code")).alias("code"))
+    """package_id, content, code of specs; what the reader would find inconsistent is refused as an internal error.
+
+    A package is checked in the task that packed it.
+    """
+    made = scan.pack(specs, limits).select("package_id", "content", F.col("violation.code").alias("refused"))
+    seen = read.checked(scan.scan(made, limits, keep=("content", "refused")))
+    bad = F.col("refused").isNull() & F.coalesce(F.col("verdict.summary") == "inconsistent", F.lit(True))
+    return seen.select("package_id", F.when(~bad, F.col("content")).alias("content"), F.when(bad, "create.internal.self_check_failed").otherwise(F.col("refused")).alias("code"))
 
 
 def _stop(kind: str, entry: int | None = None, number: int | None = None) -> Violation:
@@ -68,6 +71,22 @@ def canonical(found: zipscan.Inventory, document: DocumentLimits) -> tuple[dict,
     return meta, payloads
 
 
+def place_dispatches(meta: dict, any_left: bool) -> None:
+    """Dispatches as the writer derives them: one at least where attachments are left, a count of 0 where none is; a container that was there stays."""
+    if any_left and not meta["dispatches"]:
+        meta["dispatches"].append({"attachments_present": False, "handling_instructions_unqualified": False})
+    for d in meta["dispatches"]:
+        d |= {"attachments": [], "declared_attachment_count": None if any_left else 0}
+
+
+def early_ceilings(attachments: list[dict], as_they_were: set[int], limits: ArchiveLimits) -> None:
+    """The ceilings on entries and on the size of each supplied attachment, before anything is written."""
+    within(len(attachments) + 2, min(limits.entries, 0xFFFF), "create.over_limit.entries")
+    for i, a in enumerate(attachments):
+        if i not in as_they_were:
+            within(len(a["bytes"]), min(limits.entry, 0xFFFFFFFF), "create.over_limit.entry_bytes", attachment=i)
+
+
 HEADER_KEYS = tuple(k for k in xmlmeta.HEADER.values())
 
 
@@ -102,11 +121,8 @@ def apply_edits(image: bytes, edits: dict, limits: ArchiveLimits = ArchiveLimits
             new["header"][key] = change["value"] if change["op"] == "set" else None
             if key == "test":
                 new["header"]["test_present"] = True
-    within(len(kept) + 2, limits.entries, "create.over_limit.entries")
-    if kept and not new["dispatches"]:
-        new["dispatches"].append({"attachments_present": False, "handling_instructions_unqualified": False})
-    for d in new["dispatches"]:
-        d |= {"attachments": [], "declared_attachment_count": None if kept else 0}
+    early_ceilings(kept, {i for i, n in enumerate(x for x in range(1, len(payloads) + 1) if x not in removed) if n not in replaced}, limits)
+    place_dispatches(new, bool(kept))
     out = zipwrite.write({"timestamp": edits.get("timestamp"), "metadata": new, "attachments": kept}, limits)
     # what is kept must be in the result as it was
     again = zipscan.scan(out, limits).entries[2:]
@@ -116,14 +132,13 @@ def apply_edits(image: bytes, edits: dict, limits: ArchiveLimits = ArchiveLimits
 
 
 OP = "struct<op: string, value: string>"
-EDITS = f"package_id string, remove array<int>, replace array<struct<number: int, bytes: binary>>, add array<struct<file_name: string, bytes: binary, description: string>>, header map<string, {OP}>"
+EDIT_COLUMNS = (("remove", "array<int>"), ("replace", "array<struct<number: int, bytes: binary>>"), ("add", "array<struct<file_name: string, bytes: binary, description: string>>"), ("header", f"map<string, {OP}>"))
+EDITS = ", ".join(["package_id string", *(f"{name} {kind}" for name, kind in EDIT_COLUMNS)])
 REPACKED = "package_id string, content binary, preserved array<int>, changed array<int>, added array<int>, removed array<int>, header_fields array<string>, code string"
 
 
 def repack(packages: DataFrame, edits: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """Edited packages, their plans, or codes; edits as in EDITS, at most a row a package."""
-
-
     schema = scan.arrow_schema(REPACKED)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +147,13 @@ def repack(packages: DataFrame, edits: DataFrame, limits: ArchiveLimits = Archiv
             for row in batch.to_pylist():
                 made = dict.fromkeys(schema.names) | {"package_id": row["package_id"]}
                 asked = row | {"header": {k: v | {"value": v["value"] in ("true", "1")} if k == "test" else v for k, v in row["header"] or []}}
+                stamp = row.get("timestamp")
+                asked["timestamp"] = (stamp["date"], stamp["time"]) if stamp else None
+                for part in ("replace", "add"):
+                    asked[part] = [a | {"bytes": a["bytes"] or b""} for a in row[part] or []]
                 try:
+                    if row["content"] is None:
+                        raise Violation("input.unreadable")
                     content, plan = apply_edits(row["content"], asked, limits)
                     made |= plan | {"content": content}
                 except Violation as v:

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from packlane import bridges
+from packlane import bridges, roundtrips  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

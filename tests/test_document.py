@@ -1,13 +1,13 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from packlane.functions import xmlmeta, zipscan, zipwrite
+from packlane.functions import cases, xmlmeta, zipscan, zipwrite
 from packlane.functions.failure import Violation
 from packlane.functions.limits import ArchiveLimits, DocumentLimits
-from packlane.functions.sample import attachment_xml, document_xml
+from packlane.functions.sample import attachment_xml
 from packlane.plans.write import apply_edits
 
-GOOD = document_xml([("a.pdf", "KRX/OCD/Payload/ID-1"), ("b.pdf", "KRX/OCD/Payload/ID-2/")]).decode()
+GOOD = cases.GOOD
 
 
 def code(raw, **limits):
@@ -26,46 +26,10 @@ def test_values():
     assert xmlmeta.declared_path("x/", "f") == "x/f" and xmlmeta.declared_path("/", "f") == "f"
 
 
-def swap(a, b):
-    assert a in GOOD
-    return GOOD.replace(a, b, 1)
-
-
-H = "KRX_VERZIOSZAM"
-CASES = [
-    (GOOD[: GOOD.index("<k:K")] + "text" + GOOD[GOOD.index("<k:K") :] + "<junk", None),
-    ("﻿" + GOOD, None),
-    (swap("v0.9", "<![CDATA[v0.9]]>"), None),
-    (swap("v0.9", " v0.9<!-- c -->\n"), None),
-    (swap("<k:TESZT>false</k:TESZT>", "<k:TESZT> 1 </k:TESZT>"), None),
-    ("", ("malformed.missing_element", "KULDEMENY")),
-    ("<!DOCTYPE x>" + GOOD, ("unsupported.dtd", None)),
-    ("<?php x?>" + GOOD, ("unsupported.processing_instruction", None)),
-    (swap("UTF-8", "latin1"), ("unsupported.encoding", None)),
-    (swap("kuldemeny\"", "other\""), ("unsupported.namespace", None)),
-    (GOOD.replace("k:KULDEMENY ", "k:KULD ").replace("/k:KULDEMENY>", "/k:KULD>"), ("malformed.root_element", "KULDEMENY")),
-    (swap("v0.9", "&x;"), ("malformed.entity", None)),
-    (swap("v0.9", "&#0;"), ("malformed.entity", None)),
-    (swap("v0.9", "a & b"), ("malformed.syntax", None)),
-    (swap(f"<k:{H}>", f"<q:{H}>"), ("malformed.unbound_prefix", None)),
-    (swap(f"<k:{H}>", f'<k:{H} a="1" a="2">'), ("malformed.attribute", None)),
-    (swap(f"<k:{H}>", f"<k:{H} a=1>"), ("malformed.attribute", None)),
-    (swap(f"<k:{H}>v0.9</k:{H}>", ""), ("malformed.missing_element", H)),
-    (swap(f"<k:{H}>v0.9</k:{H}>", f"<k:{H}>v</k:{H}>" * 2), ("malformed.duplicate_element", H)),
-    (swap("v0.9", "<k:TESZT/>"), ("malformed.unexpected_child", H)),
-    (swap("KER", "ker"), ("malformed.enumeration", "FORRASRENDSZER_AZONOSITO")),
-    (swap(">2<", ">2.0<"), ("malformed.integer", "MELLEKLETEK_SZAMA")),
-    (swap("false", "no"), ("malformed.boolean", "TESZT")),
-    (swap("<k:EXPEDIALASOK>", "<k:TERTIVEVENY/><k:EXPEDIALASOK>"), ("malformed.element_order", "EXPEDIALASOK")),
-    (swap("</k:KULDEMENY>", "<k:EXPEDIALASOK/></k:KULDEMENY>"), ("malformed.duplicate_element", "EXPEDIALASOK")),
-    (swap("</k:KULDEMENY>", "</k:OTHER>"), ("malformed.syntax", None)),
-    (GOOD[:-5], ("malformed.syntax", None)),
-    (GOOD.encode().replace(b"v0.9", b"\xff"), ("malformed.encoding", None)),
-    (swap("v0.9", "<!-- a -- b -->"), ("malformed.syntax", None)),
-]
-
-
-@pytest.mark.parametrize(("raw", "want"), CASES)
+swap, H = cases.swap, cases.H
+
+
+@pytest.mark.parametrize(("raw", "want"), cases.DOCUMENTS)
 def test_codes(raw, want):
     got = code(raw)
     assert got == want if want else isinstance(got, dict), got
@@ -164,3 +128,12 @@ def test_dates():
     assert zipwrite.timestamp_of("2026-01-02T03:04:05") == ((46 << 9) | (1 << 5) | 2, (3 << 11) | (4 << 5) | 2)
     assert [zipwrite.timestamp_of(t) for t in ("1979-12-31T00:00:00", "2025-02-29T00:00:00", "2024-02-29T23:59:60", "2024-02-29 00:00:00", "2024-02-29T00:00:00Z")] == [None] * 5
     assert attachment_xml(1, "a", "b").count("MELLEKLET_LEIRASA") == 2
+
+
+def test_a_wide_tag_is_refused_in_linear_time():
+    import time
+
+    wide = swap(f"<k:{H}>", f"<k:{H} {' '.join(f'a{i}=\"\"' for i in range(100_000))} xmlns:q=\"q\">")
+    assert len(wide) > 900_000
+    began = time.time()
+    assert code(wide)[0] == "over_limit.attributes_per_element" and time.time() - began < 2

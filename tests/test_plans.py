@@ -111,10 +111,10 @@ def test_extraction(spark, tmp_path):
     assert {(r.package_id, r.entry_index, r.code.removeprefix("extract.")) for r in failures.collect()} == {("link", 0, "unsupported.link"), ("raw", 0, "unsupported.non_utf8_name"), ("dot", 0, "unsafe_path.trailing_dot"), ("nfc", 2, "ambiguous.collision"), ("conflict", 1, "ambiguous.file_directory_conflict"), ("deep", 0, "over_limit.depth")}
     assert {r.package_id for r in items.collect()} == {"good", "dirs"}
     assert sorted(r.directory for r in dirs.where("package_id = 'dirs'").collect()) == ["d", "d/e"]
-    got = {(r.package_id, r.files_written, r.directories_created, r.bytes_written, r.code) for r in extract.files(df, scanned, str(tmp_path)).collect()}
+    got = {(r.package_id, r.files_written, r.directories_created, r.bytes_written, r.code) for r in extract.files(df, str(tmp_path)).collect()}
     assert got == {("good", 4, 6, 57 + len(document_xml([("synthetic-a.pdf", "KRX/OCD/Payload/ID-1"), ("synthetic-b.pdf", "KRX/OCD/Payload/ID-2")])), None), ("dirs", 2, 2, 2, None)}
     assert (tmp_path / "dirs/d/e/y").read_bytes() == b"2"
-    again = {(r.package_id, r.files_written, r.code) for r in extract.files(df, scanned, str(tmp_path)).collect()}
+    again = {(r.package_id, r.files_written, r.code) for r in extract.files(df, str(tmp_path)).collect()}
     assert again == {("good", 0, "output.exists"), ("dirs", 0, "output.exists")}
 
 
@@ -158,3 +158,34 @@ def test_stream(spark, corpus_dir, tmp_path):
     q.awaitTermination(120)
     assert spark.sql("SELECT count(*) FROM scanned_stream").first()[0] == 5
     assert spark.sql("SELECT count(*) FROM scanned_stream WHERE violation IS NULL").first()[0] == 3
+
+
+def nodes(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().count(f"{name} ") if name != "Exchange" else sum(" Exchange " in f" {x.strip(' :+-*()0123456789')} " for x in df._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+def test_each_plan_scans_once_and_shuffles_little(spark, corpus_dir):
+    found, _ = packages.read(spark, corpus_dir)
+    for df, shuffles in ((read.validate(scan.scan(found)), 0), (read.inspect(scan.scan(found)), 0), (read.checks(scan.scan(found)), 0), (extract.tables(found), 0), (corpus.report(scan.scan(found)), 2)):
+        assert nodes(df, "MapInArrow") == 1 and nodes(df, "Exchange") <= shuffles
+
+
+def test_names_are_compared_as_bytes(spark):
+    images = {
+        "marker": archive([Item(b"a\xff/mimetype"), Item(b"KRX/OCD/Metalayer/KULDEMENY_META.xml", document_xml([]))]),
+        "document": archive([Item(b"mimetype", b"application/OCD+ZIP"), Item(b"\xff/Metalayer/KULDEMENY_META.xml", document_xml([]))]),
+    }
+    rows = {r.package_id: r for r in read.inspect(scan.scan(spark.createDataFrame(list(images.items()), PACKAGES))).collect()}
+    assert rows["marker"].observations.marker == "prefixed" and rows["marker"].checks[3].rule == "A19"
+    seen = rows["document"]
+    assert [c.outcome for c in seen.checks[:3]] == ["pass", "pass", "unresolved"]
+    assert (seen.observations.root_prefix, seen.observations.root_prefix_hex) == (None, "ff2f") and seen.observations.metadata_entry_name is None
+
+
+def test_empty_and_null_images_are_rows(spark):
+    scanned = scan.scan(spark.createDataFrame([("none", archive([])), ("null", None)], PACKAGES))
+    got = {(r.section, r.label): r.n for r in corpus.report(scanned).collect()}
+    assert got["marker", "no marker entry"] == got["payload", "no payload subdirectory"] == got["entry_count", "1-4"] == 1
+    assert got["categories", "input"] == 3 and got["anomalies", "(none)"] == 0
+    for section in ("root_prefix", "file_name_casing", "marker", "payload", "entry_count"):
+        assert sum(n for (s, _), n in got.items() if s == section) == 2
