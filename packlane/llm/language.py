@@ -7,7 +7,8 @@ spans each language wrote. The set of languages grows from the strongest one
 along the estimated shares, and the size with the best penalised likelihood
 (half the log of the number of spans for each further language) is chosen; the
 proportions are estimated anew within that set, and the largest one gives the
-answer and the score.
+answer and the score. The set grows until a further language no longer pays its
+penalty, up to all of them.
 
 The models are counted over a bounded sample of labelled rows (SAMPLE); they
 and the predictions use whole texts.
@@ -32,7 +33,11 @@ from . import common
 #: Labelled rows that a fit may use.
 SAMPLE = 20_000
 BINS, SPAN = 1 << 16, 24
-ROUNDS, MOST = 12, 6
+ROUNDS = 12
+#: Numbers in the model: with so many languages that it would pass this, bins are joined.
+NUMBERS = 1 << 26
+#: Bytes of a text that are read at once.
+PIECE = 1 << 20
 SMOOTH = 0.3
 UNKNOWN = "und"
 
@@ -41,15 +46,25 @@ FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 el
 
 
 def grams(text: bytes) -> np.ndarray:
-    """Bins of the trigrams of a text; those across two words are left out."""
-    raw = np.empty(len(text) + 2, np.uint8)
-    raw[0] = raw[-1] = 32
-    raw[1:-1] = FOLD[np.frombuffer(text, np.uint8)]
+    """Bins of the trigrams of a text, which has no more bytes than are held at once; those across two words are left out."""
+    return _grams(b" " + text + b" ")
+
+
+def _grams(text: bytes) -> np.ndarray:
+    """Bins of the trigrams around all bytes but the first and the last."""
+    raw = FOLD[np.frombuffer(text, np.uint8)]
     mid = raw[1:-1]
     code = (raw[:-2].astype(np.uint32) << np.uint32(16)) | (mid.astype(np.uint32) << np.uint32(8)) | raw[2:]
     return ((code[mid != 32] * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int32)
 
 
+def pieces(text: bytes) -> Iterator[np.ndarray]:
+    """grams of a text of any length, a piece at a time."""
+    for at in range(0, len(text), PIECE):
+        before = text[at - 1 : at] or b" "
+        yield _grams(before + text[at : at + PIECE] + (text[at + PIECE : at + PIECE + 1] or b" "))
+
+
 def has_letters(text: bytes) -> bool:
     raw = np.frombuffer(text, np.uint8)
     if ((raw | 32) - 97 < 26).any():
@@ -62,13 +77,20 @@ class Model:
     languages: list[str]
     #: log-probability of each bin in each language, as BINS x languages.
     logs: np.ndarray
+    #: Low bits of a bin that the model leaves out.
+    joined: int = 0
 
     def spans(self, text: bytes) -> np.ndarray:
         """Log-likelihoods of a text's spans in each language."""
-        g = grams(text)
-        if not len(g):
-            return np.zeros((0, len(self.languages)), np.float32)
-        return np.add.reduceat(self.logs[g], np.arange(0, len(g), SPAN), axis=0)
+        out, rest = [np.zeros((0, len(self.languages)), np.float32)], np.zeros(0, np.int32)
+        for g in pieces(text):
+            g = np.concatenate([rest, g])
+            whole = len(g) // SPAN * SPAN
+            rest = g[whole:]
+            out.append(self.logs[g[:whole] >> self.joined].reshape(-1, SPAN, len(self.languages)).sum(axis=1))
+        if len(rest):
+            out.append(self.logs[rest >> self.joined].sum(axis=0, keepdims=True))
+        return np.concatenate(out)
 
 
 def mixture(spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +123,7 @@ def infer(spans: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(-theta, axis=1, kind="stable")
     best, chosen = np.full(n, -np.inf), np.zeros((n, k))
     todo = np.arange(n)
-    for size in range(1, min(MOST, k) + 1):
+    for size in range(1, k + 1):
         sets = []
         for i in todo:
             s = np.full_like(spans[i], -np.inf)
@@ -127,7 +149,8 @@ def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.batches(rows):
         for lang, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1))):
             n = total.setdefault(lang, np.zeros(BINS, np.int64))
-            n += np.bincount(grams(text), minlength=BINS)
+            for g in pieces(text):
+                n += np.bincount(g, minlength=BINS)
     for lang, n in total.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bin", "n"])
@@ -140,14 +163,16 @@ def learn(docs: DataFrame, sample: int = SAMPLE, aside: tuple[int, int] = (4, 2)
     if n > sample:
         rows = rows.where(common.hash01("doc_id", "language-1:") < F.lit(sample / n))
     counted = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_counts, "lang string, bin int, n long")
-    # a row for each language and bin at most
+    # a row for each language of the sample and each of its bins
     found = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
-    table = np.full((BINS, len(languages)), SMOOTH)
-    for j, lang in enumerate(languages):
-        mine = found[found["lang"] == lang]
-        table[mine["bin"], j] += mine["n"]
-    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    joined = 0
+    while (BINS >> joined) * len(languages) > NUMBERS:
+        joined += 1
+    table = np.full((BINS >> joined, len(languages)), SMOOTH)
+    place = {lang: j for j, lang in enumerate(languages)}
+    np.add.at(table, (found["bin"].to_numpy() >> joined, found["lang"].map(place).to_numpy(np.int64)), found["n"].to_numpy())
+    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), joined)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

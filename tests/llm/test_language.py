@@ -46,6 +46,43 @@ def test_em_raises_the_likelihood():
     assert total[0] >= max(flat, single) - 1e-6
 
 
+def test_sets_of_many_languages():
+    """Every set size can be chosen, and the choice is that of plain EM over all sets along the order."""
+    rng = np.random.default_rng(8)
+    k, spans = 9, []
+    for n in (1, 2, 5, 8, 9):
+        s = np.full((40 * n, k), -60.0) + rng.normal(0, 1, (40 * n, k))
+        for i in range(40 * n):
+            s[i, i % n] = -20
+        spans.append(s)
+    chosen = language.infer(spans)
+    assert [(c > 0.01).sum() for c in chosen] == [1, 2, 5, 8, 9]
+    for s, c in zip(spans, chosen):
+        order = np.argsort(-language.mixture([s])[0][0], kind="stable")
+        costs = []
+        for size in range(1, k + 1):
+            like, theta = np.exp(s[:, order[:size]] + 20), np.full(size, 1 / size)
+            for _ in range(language.ROUNDS):
+                r = like * theta
+                theta = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            total = np.log((like * theta).sum(axis=1)).sum() - 20 * len(s)
+            costs.append(total - 0.5 * (size - 1) * np.log(len(s)) - 3 * (size - 1))
+        assert set(np.flatnonzero(c > 0)) == set(order[: int(np.argmax(costs)) + 1])
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = "schön être wind 12 ".encode() * 400
+    model = language.Model(["a", "b"], np.random.default_rng(1).normal(-5, 1, (language.BINS, 2)).astype(np.float32))
+    whole = model.spans(text)
+    monkeypatch.setattr(language, "PIECE", 101)
+    assert np.allclose(model.spans(text), whole, atol=1e-3) and len(whole) == -(-len(language.grams(text)) // language.SPAN)
+
+
+def test_ties_go_to_the_first_language():
+    spans = [np.full((10, 3), -7.0)]
+    assert language.infer(spans).argmax() == 0
+
+
 def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language.predict(df, language.learn(df)).collect()] == ["und"]
