@@ -62,24 +62,42 @@ def sha1_text(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, keeper: int | None, revisit: bool) -> bytes:
-    """One uncompressed record."""
-    digest = sha1_text(hashlib.sha1(payload).digest())
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+def pieces(page_id: int | None, url: str | None, payload: bytes | memoryview, keeper: int | None, revisit: bool) -> Iterator[bytes | memoryview]:
+    """One uncompressed record, its headers and then slices of the payload that copy nothing."""
+    view = memoryview(payload)
+    sha = hashlib.sha1()
+    for at in range(0, len(view), CHUNK):
+        sha.update(view[at : at + CHUNK])
+    digest = sha1_text(sha.digest())
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(view)}\r\n\r\n".encode()
+    size = len(http) + (0 if revisit else len(view))
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {CONTROL.sub(' ', url).strip()}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(keeper)}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {size}"]
+    yield "\r\n".join(head).encode() + b"\r\n\r\n" + http
+    for at in range(0, 0 if revisit else len(view), CHUNK):
+        yield view[at : at + CHUNK]
+    yield b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, keeper: int | None, revisit: bool) -> bytes:
+    """One uncompressed record, whole."""
+    return b"".join(pieces(page_id, url, payload, keeper, revisit))
+
+
+def _view(text: pa.Scalar) -> memoryview:
+    """UTF-8 of a string, as it lies in its batch; null counts as empty."""
+    held = text.as_buffer()
+    return memoryview(b"" if held is None else held)
 
 
 def _write(uri: str) -> Callable:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        pages = (row for batch in common.batches(rows) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()))
+        pages = (row for batch in common.batches(rows) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(_view, batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()))
         held, part = next(pages, None), 0
         while held is not None:
             name, records = f"part-{task.partitionId():06d}-{part:03d}.warc.gz", 0
@@ -89,9 +107,10 @@ def _write(uri: str) -> Callable:
                 written = 0
                 while held is not None and written < ROLL:
                     gz = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    member = gz.compress(record(*held)) + gz.flush()
-                    out.write(member)
-                    written, records = written + len(member), records + 1
+                    for piece in pieces(*held):
+                        written += out.write(gz.compress(piece)) or 0
+                    written += out.write(gz.flush()) or 0
+                    records += 1
                     held = next(pages, None)
 
             common.put_file(uri, name, str(task.taskAttemptId()), fill)
@@ -194,6 +213,8 @@ def read_records(raw, chunk: int = CHUNK) -> Iterator[dict]:
                 left -= len(got)
             sha.update(piece)
             before += len(piece)
+            if not left and row["record_type"] == "response" and (before, sha1_text(sha.digest())) != (row["declared_bytes"], row["declared_digest"]):
+                raise DamagedArchive("a payload is not the one that its record declares")
             yield row | {"chunk": number, "last": not left, "bytes": bytes(piece), "bytes_so_far": before, "digest_so_far": sha1_text(sha.digest())}
             number += 1
             if not left:

@@ -46,12 +46,25 @@ def test_empty_table(spark):
     assert warc.read(uri, files).count() == 0
 
 
+def test_a_long_payload_is_written_without_a_copy():
+    import tracemalloc
+
+    payload = bytes(40 << 20)
+    tracemalloc.start()
+    size = sum(len(x) for x in warc.pieces(1, "u", payload, None, False))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > len(payload) and most < 1 << 20
+
+
 def test_damage_is_seen():
     whole = gzip.compress(warc.record(1, "u", b"payload" * 100, None, False))
     assert list(warc.read_records(io.BytesIO(whole)))
     for cut in (10, len(whole) // 2, len(whole) - 1):
         with pytest.raises((warc.DamagedArchive, EOFError)):
             list(warc.read_records(io.BytesIO(whole[:cut])))
+    with pytest.raises(warc.DamagedArchive):
+        list(warc.read_records(io.BytesIO(gzip.compress(warc.record(1, "u", b"payload" * 100, None, False).replace(b"payloadpay", b"payloadPay", 1)))))
     short = warc.record(1, "u", b"payload", None, False).replace(b"Content-Length: 7\r", b"Content-Length: 7\r")
     with pytest.raises(warc.DamagedArchive):
         list(warc.read_records(io.BytesIO(gzip.compress(short[:-6]))))
