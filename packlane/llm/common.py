@@ -184,9 +184,13 @@ def hash01(column: Column | str, salt: str) -> Column:
 
 
 def bounded_sample(df: DataFrame, most: int, salt: str) -> DataFrame:
-    """About most rows, chosen by a hash of doc_id: all of them if there are no more."""
+    """About most rows, no more, those with the smallest hashes of doc_id: all of them if there are no more."""
     n = df.count()
-    return df if n <= most else df.where(hash01("doc_id", salt) < F.lit(0.97 * most / n)).limit(most)
+    if n <= most:
+        return df
+    key = hash01("doc_id", salt)
+    few = df.where(key < F.lit(0.97 * most / n))
+    return few.orderBy(key, F.xxhash64(*df.columns)).limit(most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

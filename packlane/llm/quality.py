@@ -1,6 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled, then a two-layer network.
 
-Every word owns a sparse ternary index vector that follows from its hash. The
+Every row of a word table owns a sparse ternary index vector, and every word a
+row by its hash (so rare words may share one). The
 context vector of a word sums the index vectors of the words around it in the
 labelled sample; words share rows of a table of fixed size by their hash, so
 that the model has one size whatever the vocabulary. A text is the mean of its
@@ -35,6 +36,8 @@ SAMPLE = 8_000
 #: Rows of the word table, width of a vector, entries that are not zero in an index vector, words to each side.
 TABLE, WIDTH, ONES, AROUND = 1 << 15, 32, 4, 2
 HIDDEN, EPOCHS, SEED = 32, 60, 7
+#: Tasks that sum context vectors.
+FITTERS = 8
 THRESHOLD = 0.7
 SIGNS = 12
 
@@ -119,9 +122,9 @@ class Reader:
         return out
 
 
-def word_vectors(batch: list[bytes], reader: Reader) -> np.ndarray:
-    """Context vectors: each row sums the index vectors within AROUND words, then gets length 1."""
-    index, out = index_vectors(), np.zeros((TABLE, WIDTH), np.float32)
+def context_sums(batch: list[bytes], reader: Reader) -> np.ndarray:
+    """For each row of the table, the sum of the index vectors within AROUND words: whole numbers, so that sums of parts are exact."""
+    index, out = index_vectors().astype(np.int64), np.zeros((TABLE, WIDTH), np.int64)
     for i in range(0, len(batch), 200):
         ids, ends, _ = reader.tokens(batch[i : i + 200])
         doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
@@ -129,7 +132,13 @@ def word_vectors(batch: list[bytes], reader: Reader) -> np.ndarray:
             same = np.flatnonzero(doc[k:] == doc[:-k])
             for a, b in ((same, same + k), (same + k, same)):
                 pair, n = np.unique(ids[a].astype(np.int64) * TABLE + ids[b], return_counts=True)
-                np.add.at(out, pair // TABLE, index[pair % TABLE] * n[:, None].astype(np.float32))
+                np.add.at(out, pair // TABLE, index[pair % TABLE] * n[:, None])
+    return out
+
+
+def unit_vectors(sums: np.ndarray) -> np.ndarray:
+    """Context vectors of length 1."""
+    index, out = index_vectors(), sums.astype(np.float64)
     norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
     # a word that stands alone in the sample keeps its index vector
     return np.where(norm > 0, out / np.maximum(norm, 1e-9), index / np.sqrt(ONES)).astype(np.float32)
@@ -158,16 +167,25 @@ def _train(x: np.ndarray, y: np.ndarray, model: Model) -> None:
     model.w1, model.b1, model.w2, model.b2 = p["w1"].astype(np.float32), p["b1"].astype(np.float32), p["w2"].astype(np.float32), float(p["b2"][0])
 
 
+def word_vectors(batch: list[bytes], reader: Reader) -> np.ndarray:
+    return unit_vectors(context_sums(batch, reader))
+
+
 def fit(batch: list[bytes], labels: np.ndarray) -> Model:
-    """A model of labelled texts; a sixth of them only set the temperature."""
-    model = Model()
-    if not len(batch) or labels.min() == labels.max():
-        model.prior = float(labels.mean()) if len(batch) else 0.5
-        return model
+    """A model of labelled texts."""
     reader = Reader()
-    aside = np.arange(len(batch)) % 6 == 5
-    model.vectors = word_vectors(batch, reader)
-    x = np.concatenate([reader.features(batch[i : i + 200], model.vectors) for i in range(0, len(batch), 200)])
+    vectors = word_vectors(batch, reader)
+    x = [reader.features(batch[i : i + 200], vectors) for i in range(0, len(batch), 200)]
+    return fit_features(np.concatenate(x) if x else np.zeros((0, WIDTH + SIGNS), np.float32), labels, vectors)
+
+
+def fit_features(x: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> Model:
+    """A model of the features of labelled texts; a sixth of them only set the temperature."""
+    model = Model(vectors)
+    if not len(x) or labels.min() == labels.max():
+        model.prior = float(labels.mean()) if len(x) else 0.5
+        return model
+    aside = np.arange(len(x)) % 6 == 5
     _train(x[~aside], labels[~aside].astype(float), model)
     if aside.any():
         z, y = model.logits(x[aside]), labels[aside]
@@ -183,13 +201,33 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, aside: tuple
     chosen = common.bounded_sample(labels, sample, "quality-1:")
     # the sample bounds this side
     rows = common.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.col("quality").cast("int"))
-    held, labels_, ids = [], [], []
-    for r in rows.toLocalIterator():
-        ids.append(r.doc_id)
-        held.append(bytes(r.text))
-        labels_.append(int(r.quality))
-    order = sorted(range(len(ids)), key=lambda i: (common.id_crc_py(ids[i]), ids[i], held[i]))
-    return fit([held[i] for i in order], np.array([labels_[i] for i in order]))
+    rows = common.table(rows.repartition(FITTERS), "quality-sample")
+    # a table of fixed size from each of a fixed number of tasks
+    sums = np.zeros((TABLE, WIDTH), np.int64)
+    for r in rows.select("text").repartition(FITTERS).mapInArrow(_sums, "sums binary").toLocalIterator():
+        sums += np.frombuffer(bytes(r.sums), np.int32).reshape(TABLE, WIDTH)
+    vectors = unit_vectors(sums)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in common.batches(rows):
+            x = reader.features(common.texts(batch.column(1)), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+
+    # numbers of fixed width for each row of the sample, no texts
+    found = [(r.doc_id, int(r.quality), bytes(r.x)) for r in rows.mapInArrow(features, "doc_id long, quality int, x binary").toLocalIterator()]
+    found.sort(key=lambda r: (common.id_crc_py(r[0]), r))
+    x = np.frombuffer(b"".join(r[2] for r in found), np.float32).reshape(-1, WIDTH + SIGNS)
+    return fit_features(x, np.array([r[1] for r in found]), vectors)
+
+
+def _sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader, total = Reader(), np.zeros((TABLE, WIDTH), np.int64)
+    for batch in common.batches(rows):
+        for i in range(0, batch.num_rows, 50):
+            total += context_sums(common.texts(batch.column(0).slice(i, 50)), reader)
+    yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary())], ["sums"])
 
 
 def scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:

@@ -31,6 +31,28 @@ def test_held_out_accuracy_and_edge_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.score >= 0.7 for r in got)
 
 
+def test_the_boundary_is_accepted(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    model = quality.Model(prior=quality.THRESHOLD)
+    assert quality.accept(docs, model, quality.THRESHOLD).count() == 1 and quality.accept(docs, model, quality.THRESHOLD + 1e-9).count() == 0
+
+
+def test_a_sample_is_the_same_each_time(spark):
+    df = spark.range(5000).select(common.F.col("id").alias("doc_id"), (common.F.col("id") % 7).alias("x")).repartition(5).unionByName(spark.range(3000).selectExpr("1 AS doc_id", "id AS x"))
+    once, again = ({tuple(r) for r in common.bounded_sample(x, 100, "s").collect()} for x in (df, df.repartition(3)))
+    assert once == again and 0 < len(once) <= 100
+
+
+def test_plain_network():
+    """Scores equal a network written out by hand."""
+    model = quality.fit([t.encode() for _, t, _ in rows(120)], np.array([q for *_, q in rows(120)]))
+    x = quality.Reader().features([b"the quiet river", b"", b"BUY!! NOW!!"], model.vectors)
+    for row, got in zip(x, model.scores(x)):
+        z = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+        h = [max(0.0, sum(a * w for a, w in zip(z, column)) + b) for column, b in zip(model.w1.T, model.b1)]
+        assert abs(1 / (1 + np.exp(-(sum(a * w for a, w in zip(h, model.w2)) + model.b2) / model.temperature)) - got) < 1e-4
+
+
 def test_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
