@@ -44,16 +44,69 @@ def test_templates_with_edits():
     rng = np.random.default_rng(2)
     scanner = ls.Scanner()
     for t, (label, text) in enumerate(ls.TEMPLATES):
-        words = text.split()
+        words = [w.decode() for w in ls.tokens(text.encode())]
         if len(words) > 30:
             for i in rng.choice(len(words), 2, replace=False):
                 words[i] = "zzz"
         found = scanner.scan(("intro text here " + " ".join(words).title() + ". More words.").encode())
         hit = [s for s in found.spans if s.template == t and s.covered >= ls.ENOUGH]
-        assert hit and hit[0].label == label and hit[0].start >= 3 and hit[0].end <= 3 + len(words)
+        assert len(hit) == 1 and hit[0].label == label and hit[0].start >= 3 and hit[0].end <= 3 + len(words)
     assert not scanner.scan(b"the license of the software is a copy of the work to the rights").spans
 
 
+def test_repeated_and_interleaved_texts():
+    scanner = ls.Scanner()
+    isc = [w.decode() for w in ls.tokens(ls.ISC.encode())]
+    t = [label for label, _ in ls.TEMPLATES].index("isc")
+    whole = lambda words: [s for s in scanner.scan(" ".join(words).encode()).spans if s.template == t and s.covered >= 0.9]
+    assert [(s.start, s.end) for s in whole(isc * 2)] == [(0, len(isc)), (len(isc), 2 * len(isc))]
+    assert len(whole(isc[:60] + ["x"] * 3 + isc[60:])) == 1
+    # a copy that begins within another one's gap
+    assert [s.covered >= 0.9 for s in whole(isc[:40] + ["x"] * 5 + isc[40:])] == [True]
+
+
+def covered_by_hand(words, template):
+    """Words of a template that a text holds in its order in runs of MIN, by the longest chain: a plain table over places."""
+    best = 0
+    n, m = len(words), len(template)
+    run = np.zeros((n + 1, m + 1), int)
+    for i in range(n):
+        for j in range(m):
+            run[i + 1, j + 1] = run[i, j] + 1 if words[i] == template[j] else 0
+    chain = np.zeros((n + 1, m + 1), int)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            chain[i, j] = max(chain[i - 1, j], chain[i, j - 1], max((chain[i - k, j - k] + k for k in range(ls.MIN, run[i, j] + 1)), default=0))
+            best = max(best, chain[i, j])
+    return best
+
+
+def test_cover_equals_the_longest_chain():
+    rng = np.random.default_rng(12)
+    template = [f"t{i}" for i in range(60)]
+    scanner = ls.Scanner(templates=(("t", " ".join(template)),), phrases=())
+    for _ in range(60):
+        words = list(template)
+        for i in rng.choice(60, int(rng.integers(0, 8)), replace=False):
+            words[i] = "x"
+        words = ["n"] * 5 + [w for w in words if rng.random() > 0.02] + ["n"] * 5
+        got = sum(round(s.covered * 60) for s in scanner.scan(" ".join(words).encode()).spans)
+        assert got == covered_by_hand(words, template)
+
+
+def test_words_across_pieces(monkeypatch):
+    text = "Ab-c é日本x yz\x00w".encode() * 50 + b"end"
+    want = ls.tokens(text)
+    for piece in (1, 2, 7, 1 << 16):
+        monkeypatch.setattr(ls, "PIECE", piece)
+        assert list(ls.stream(text)) == want and list(ls.stream(b"")) == []
+
+
+def test_whole_texts_from_a_folder(tmp_path):
+    (tmp_path / "Some-1.0.txt").write_text("one two three four five six seven eight")
+    assert ls.load(str(tmp_path)) == (("some-1.0", "one two three four five six seven eight"),)
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "Under the MIT License. under the mit license"), (3, "x"), (None, "cc by nc"), (4, "word " * 200_000 + "Apache License, Version 2.0")]
     got = {(r.doc_id, r.n_words): r for r in ls.scan(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, labels string")).collect()}
