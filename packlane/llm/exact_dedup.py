@@ -1,13 +1,14 @@
 r"""Exact dedup with an extendible-hash index on shared files.
 
 Scan tasks normalise each text (every ``[\x20\x09-\x0D]+`` becomes one space),
-fold equal texts within a bounded window into one entry, and hand entries to
-owner tasks by key range (the top bits of the key). An owner inserts its
-entries into an extendible-hash index: a directory that doubles and buckets
+fold equal texts within a bounded window into one entry. Entries of all windows
+are folded by key and SHA-256 with partial aggregation, before any bytes move:
+one entry of each text carries its bytes to an owner task, by key range (the
+top bits of the key). An owner inserts its entries into an extendible-hash index: a directory that doubles and buckets
 that split when overfull; entries of one key are chained and told apart by
 their bytes. It writes the index in the shared folder and answers from the
-file that it wrote. A group that holds a third of all rows reaches its owner
-as one entry a window, and its members find the answer by entry, not by key.
+file that it wrote. A group that holds a third of all rows reaches its owner as
+one entry, and its members find the answer by entry, not by key.
 
 Cases: a null text counts as empty, and empty texts are equal to each other; a
 null doc_id sorts last, so it is kept only in a group that has no other; rows
@@ -34,12 +35,14 @@ WINDOW_BYTES, WINDOW_ROWS = 32 << 20, 200_000
 BUCKET = 64
 #: Normalised bytes that one owner should hold.
 OWNER_BYTES = 8 << 20
+#: Normalised bytes of the owners that share a partition.
+PART_BYTES = 64 << 20
 #: A directory doubles so often at most; a bucket that is still overfull then stays so (keys are hashes: it takes very many equal heads).
 DEEPEST = 20
 SLOT = struct.Struct("<Qqqqq")  # key, record, chain, keep, rows
 NO_ID = (1 << 63) - 1
 
-ROWS = "entry long, doc_id long, lead boolean, key long, rows long, text binary"
+ROWS = "entry long, doc_id long, lead boolean, key long, rows long, sha binary, text binary"
 FOUND = "entry long, keep_entry long, keep_id long, group_size long, text_sha256 string"
 
 
@@ -143,18 +146,18 @@ def _fold(hash_key: Callable[[bytes], int]) -> Callable:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 36, 0
         names = [x.split()[0] for x in ROWS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
         def flush():
             leads = set(x for x in lead.values())
             for i in range(0, len(ids), 20_000):
                 part = range(i, min(len(ids), i + 20_000))
-                cols = [[base + entry[j] for j in part], [ids[j] for j in part], [j in leads for j in part], *[[None] * len(part)] * 3]
+                cols = [[base + entry[j] for j in part], [ids[j] for j in part], [j in leads for j in part], *[[None] * len(part)] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
             made = list(found.values())
             for i in range(0, len(made), 200):
                 part = made[i : i + 200]
-                cols = [[base + e for e, _, _ in part], [ids[lead[e]] for e, _, _ in part], [None] * len(part), [((k + (1 << 63)) % (1 << 64)) - (1 << 63) for _, k, _ in part], [count[e] for e, _, _ in part], [t for _, _, t in part]]
+                cols = [[base + e for e, _, _ in part], [ids[lead[e]] for e, _, _ in part], [None] * len(part), [((k + (1 << 63)) % (1 << 64)) - (1 << 63) for _, k, _ in part], [count[e] for e, _, _ in part], [hashlib.sha256(t).digest() for _, _, t in part], [t for _, _, t in part]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
         found, lead, count, ids, entry, held = {}, {}, {}, [], [], 0
@@ -185,12 +188,12 @@ def _own(uri: str, bits: int) -> Callable[[pa.Table], pa.Table]:
         group = group.sort_by([("key", "ascending"), ("entry", "ascending")])
         index = ExtendibleHash(shift=bits)
         entries, keys = group["entry"].to_pylist(), [k & 0xFFFFFFFFFFFFFFFF for k in group["key"].to_pylist()]
-        leads, rows = group["doc_id"].to_pylist(), group["rows"].to_pylist()
+        leads, rows, leaders = group["doc_id"].to_pylist(), group["rows"].to_pylist(), group["leader"].to_pylist()
         text = group["text"]
         first: list[int] = []  # of each record, the entry whose bytes it stands for
         keep, total, at = [], [], []
         for i, key in enumerate(keys):
-            mine = (NO_ID if leads[i] is None else leads[i], entries[i])
+            mine = (NO_ID if leads[i] is None else leads[i], leaders[i])
             for r in index.find(key):
                 if text[first[r]].equals(text[i]):
                     keep[r], total[r] = min(keep[r], mine), total[r] + rows[i]
@@ -207,7 +210,7 @@ def _own(uri: str, bits: int) -> Callable[[pa.Table], pa.Table]:
         with where.open_input_stream(f"{path}/{name}", compression=None) as f:
             saved = IndexFile(f.read())
         answer = {s[1]: s for key in set(keys) for s in saved.find(key)}
-        sha = [hashlib.sha256(text[i].as_py()).hexdigest() for i in first]
+        sha = [group["sha"][i].as_py().hex() for i in first]
         return pa.table(
             {
                 "entry": pa.array(entries, pa.int64()),
@@ -230,10 +233,20 @@ def exact_dedup(docs: DataFrame, hash_key: Callable[[bytes], int] | None = None)
     hash_key = hash_key or (lambda t: key_of(hashlib.sha256(t).digest()))
     rows = common.table(common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fold(hash_key), ROWS), "dedup-entries")
     entries = rows.where(F.col("key").isNotNull())
-    size = entries.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0
+    # the first document of all windows, the entry that has it, and the entry that carries the bytes
+    first = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "entry")
+    folded = entries.groupBy("key", "sha").agg(F.min(first).alias("first"), F.sum("rows").alias("rows"), F.min("entry").alias("entry"), F.max(F.octet_length("text")).alias("size"))
+    folded = common.table(folded.select("key", "sha", F.nullif("first.id", F.lit(NO_ID)).alias("doc_id"), F.col("first.entry").alias("leader"), "rows", "entry", "size"), "dedup-folded")
+    size = folded.agg(F.sum(F.col("size") + 100)).first()[0] or 0
     bits = max(2, min(30, (size // OWNER_BYTES).bit_length() + 1))
-    owned = entries.select("entry", "doc_id", "key", "rows", "text", F.shiftrightunsigned("key", 64 - bits).alias("owner"))
+    carried = entries.select(F.col("entry").alias("carrier"), "text").join(folded, F.col("carrier") == F.col("entry"))
+    owned = carried.select("entry", "leader", "doc_id", "key", "rows", "sha", "text", F.shiftrightunsigned("key", 64 - bits).alias("owner"))
+    owned = owned.repartition(max(1, min(1 << bits, size // PART_BYTES + 4)), "owner")
     found = owned.groupBy("owner").applyInArrow(_own(common.shared_dir(spark, "dedup-index"), bits), FOUND)
+    # what was found for the carrier holds for the entries of all windows
+    same = folded.select("key", "sha", F.col("entry").alias("carrier"))
+    answers = found.join(same, found["entry"] == same["carrier"]).drop("entry", "carrier")
+    found = entries.select("entry", "key", "sha").join(answers, ["key", "sha"]).drop("key", "sha")
     members = rows.where(F.col("key").isNull()).select("entry", "doc_id", "lead")
     return members.join(found, "entry").select("doc_id", "keep_id", "group_size", (F.col("lead") & (F.col("entry") == F.col("keep_entry"))).alias("kept"), "text_sha256")
 
