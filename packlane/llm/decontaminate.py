@@ -14,11 +14,10 @@ an item of its length must hold (see run_length): no leak is without a hit.
 
 Words: letters, digits and bytes from 0x80 on, A-Z lower-cased.
 
-The item side is broadcast if its words are counted and no more than
-BROADCAST_WORDS; beyond that, hashes of documents (a row for each distinct
-hash and document) meet those of items in a shuffle, and hits are verified
-with the words of both sides. Seeds that very many documents share are dealt
-by that join's skew handling; none is dropped.
+Items are a stated set. They are dealt by hash into blocks of at most about
+BLOCK_WORDS words, and each block's index is broadcast and meets all documents
+in a pass of its own; benchmarks of less have one block. There is one path
+whatever the size, and no seed, however common, makes rows of its own.
 
 Cases: null and empty texts and items have no words and no leaks; repeated
 items are each reported; an item of one or two words matches as a whole; a
@@ -27,7 +26,9 @@ null doc_id is reported as null. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ from .license_scan import tokens
 #: 1 counts, 0 is ignored; each of weight 5, so that a copy with a word in five substituted is still met.
 MASKS = ("1101011", "11000111", "1010010011")
 SIMILAR, LONG = 0.8, 13
-BROADCAST_WORDS = 2_000_000
+#: Words of the items that are broadcast at once.
+BLOCK_WORDS = 500_000
 
 HITS = "doc_id long, item_id long, start long, item_start long, length long, matched long, item_words long"
 
@@ -168,10 +170,12 @@ def _given(docs: DataFrame, name: str) -> DataFrame:
     return common.pick(docs, name, "text").select(F.col(name).cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def small(items: DataFrame) -> bool:
-    """Whether the counted words of the items allow a broadcast."""
-    n = _given(items, "item_id").agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    return n <= BROADCAST_WORDS
+def blocks(items: DataFrame) -> list[DataFrame]:
+    """The items in parts whose counted bytes bound what is broadcast."""
+    given = _given(items, "item_id")
+    n = given.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    parts = max(1, math.ceil(n / BLOCK_WORDS))
+    return [given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else given for i in range(parts)]
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -179,12 +183,8 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names)
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document and item that it holds (see HITS)."""
-    spark = common.prepare(docs.sparkSession)
-    if not small(items):
-        return _leaks_by_join(docs, items)
-    held = spark.sparkContext.broadcast(load(_given(items, "item_id")))
+def _leaks_of(docs: DataFrame, block: DataFrame) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(load(block))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, word_hash = held.value, common.WordHash()
@@ -194,68 +194,33 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 out += [(doc_id, index.ids[i], a, q, n, m, len(index.words[i])) for i, a, q, n, m in index.leaks(hash_words(text, word_hash))]
             yield _rows(out)
 
-    return _given(docs, "doc_id").mapInArrow(run, HITS)
-
-
-def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same, with hashes of both sides met in a shuffle."""
-    docs, items = _given(docs, "doc_id"), _given(items, "item_id")
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    items = common.table(items.withColumn("item", F.xxhash64("item_id", "text", F.monotonically_increasing_id())), "leak-items")
-    lengths = sorted(r[0] for r in items.mapInArrow(_lengths, "k int").distinct().collect())  # four at most
-
-    def of_doc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = common.WordHash()
-        for batch in common.batches(rows):
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                h = hash_words(text, word_hash)
-                keys = np.unique(np.concatenate([*seeds(h), *(runs(h, k) for k in lengths)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys.view(np.int64))], ["row", "key"])
-
-    def of_item(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = common.WordHash()
-        for batch in common.batches(rows):
-            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
-                parts = [s for _, s in item_seeds(hash_words(text, word_hash))]
-                keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), item)), pa.array(keys.view(np.int64))], ["item", "key"])
-
-    pairs = docs.select("row", "text").mapInArrow(of_doc, "row long, key long").join(items.select("item", "text").mapInArrow(of_item, "item long, key long"), "key")
-    pairs = common.table(pairs.select("row", "item").distinct(), "leak-pairs")
-    both = pairs.join(docs, "row").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
-
-    def check(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = common.WordHash()
-        for batch in common.batches(rows):
-            out = []
-            for doc_id, text, item_id, item_text in zip(*(c.to_pylist() for c in batch.columns)):
-                index = Items([item_id], [hash_words(item_text, word_hash)])
-                out += [(doc_id, item_id, a, q, n, m, len(index.words[0])) for _, a, q, n, m in index.leaks(hash_words(text, word_hash))]
-            yield _rows(out)
-
-    return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(check, HITS)
+    return docs.mapInArrow(run, HITS)
 
 
-def _lengths(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.batches(rows):
-        k = {run_length(n) for t in batch.column("text").to_pylist() if (n := len(tokens(t)))}
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32())], ["k"])
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each document and item that it holds (see HITS)."""
+    common.prepare(docs.sparkSession)
+    found = [_leaks_of(_given(docs, "doc_id"), block) for block in blocks(items)]
+    if len(found) > 1:  # one index in a worker at a time
+        found = [common.table(x, "leak-rows") for x in found]
+    return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
     spark = common.prepare(docs.sparkSession)
-    if not small(items):
-        found = _leaks_by_join(docs, items).select(F.col("doc_id").alias("__leaked")).distinct()
-        return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__leaked")), "left_anti")
-    held, at = spark.sparkContext.broadcast(load(_given(items, "item_id"))), docs.columns.index("text")
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, word_hash = held.value, common.WordHash()
-        for batch in common.batches(rows):
-            yield batch.filter(pa.array([not index.leaks(hash_words(t, word_hash)) for t in common.texts(batch.column(at))]))
-
-    return docs.mapInArrow(run, docs.schema)
+    at = docs.columns.index("text")
+    for i, block in enumerate(blocks(items)):
+        held = spark.sparkContext.broadcast(load(block))
+        docs = common.table(docs, "leak-clean") if i else docs
+
+        def run(rows: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index, word_hash = held.value, common.WordHash()
+            for batch in common.batches(rows):
+                yield batch.filter(pa.array([not index.leaks(hash_words(t, word_hash)) for t in common.texts(batch.column(at))]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

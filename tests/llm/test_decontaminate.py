@@ -27,9 +27,9 @@ DOCS = (
 WANT = {(10 + i, i) for i in range(7)} | {(20 + i, i) for i in range(4)} | {(34, 3), (35, 102), (36, 1), (37, 2), (None, 2)}
 
 
-@pytest.mark.parametrize("limit", [0, dc.BROADCAST_WORDS])
+@pytest.mark.parametrize("limit", [100, dc.BLOCK_WORDS])
 def test_planted(spark, monkeypatch, limit):
-    monkeypatch.setattr(dc, "BROADCAST_WORDS", limit)
+    monkeypatch.setattr(dc, "BLOCK_WORDS", limit)
     docs = spark.createDataFrame([(*r, 1) for r in DOCS], "doc_id long, text string, matched int")
     items = spark.createDataFrame([(*r, "x") for r in ITEMS], "item_id long, text string, start string")
     got = dc.leaks(docs, items).collect()
