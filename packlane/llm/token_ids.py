@@ -15,16 +15,21 @@ ranges of doc_id; null doc_ids come first.
 
 The tokenizer is called for each distinct piece of text between white space in
 a task, and its answers are kept in a bounded cache. That equals encoding the
-whole text for a tokenizer whose pre-tokenizer never joins across white space,
-as the one here; ``whole_texts=True`` encodes texts as they are.
+whole text where the normaliser and the pre-tokenizer are those that the short
+way was written for (RULES), which is compared when a tokenizer is loaded; with
+any other one, and with ``whole_texts=True``, texts are encoded as they are.
+
+Shards are cut by doc_id, then length, a hash of the ids and a number of the
+row, so that many rows without a doc_id, or with one, are cut too.
 
 Cases: null and empty texts have the end id alone; rows with equal doc_ids stay
-side by side in the order of their ids; an empty table writes no shard. Other
+side by side in the order of their lengths, then of a hash of their ids; an empty table writes no shard. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -57,6 +62,19 @@ _PLAIN = re.compile(r"[!-~]*")
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
 
 
+#: The normaliser and the pre-tokenizer that the short way knows: fixed values.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -95,7 +113,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = whole_texts
+        about = json.loads(self.tokenizer.to_str())
+        known = all(about[k] == v for k, v in RULES.items()) and all(t["content"].startswith("<|") for t in about["added_tokens"])
+        self.whole = whole_texts or not known
         self.model, self.pieces, self.cores = self.tokenizer.model, Cache(self._piece), Cache(self._core)
         self.letters = _byte_letters()
 
@@ -263,12 +283,16 @@ def write(docs: DataFrame, tokenizer: str | None = None, end: int = END, whole_t
     """The folder of the shards of docs(doc_id, text), and a row for each shard: shard, name, docs, tokens, base."""
     spark = common.prepare(docs.sparkSession)
     given = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = common.table(given.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end, whole_texts), "doc_id long, n_tokens long, narrow binary, wide binary"), "token-rows")
+    encoded = given.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end, whole_texts), "doc_id long, n_tokens long, narrow binary, wide binary")
+    # numbered when it is written: rows that are alike in all else are told apart
+    rows = common.table(encoded.withColumn("row", F.monotonically_increasing_id()), "token-rows")
     # a row for each id of the vocabulary at most
     ranked = rows.select("narrow", "wide").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
     shards = max(1, int(ranked["n"].sum()) // SHARD)
     uri = common.shared_dir(spark, "token-ids")
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "narrow", "wide")
+    tied = rows.withColumn("h", F.xxhash64("narrow", "wide"))
+    order = ("doc_id", "n_tokens", "h", "row")
+    ordered = tied.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = common.table(ordered.mapInArrow(_write(uri, ranked["id"].to_numpy(np.uint32)), "shard long, name string, docs long, tokens long"), "token-shards")
     base, listed = 0, []
     for r in made.orderBy("shard").toLocalIterator():

@@ -1,6 +1,7 @@
 import io
 
 import numpy as np
+import pytest
 from packlane.llm import token_ids
 from tokenizers import Tokenizer
 
@@ -16,6 +17,27 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(e((x or "").encode()), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_equals_the_library(name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    e, t = token_ids.Encoder(path), Tokenizer.from_file(path)
+    assert e.whole == (name != token_ids.VOCABULARY)
+    for x in TEXTS:
+        assert np.frombuffer(e((x or "").encode()), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
+def test_rows_without_ids_are_cut_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_ids, "SHARD", 300)
+    df = spark.createDataFrame([(None, f"word {i % 3}") for i in range(600)], "doc_id long, text string").repartition(4)
+    uri, shards = token_ids.write(df)
+    held = [r.docs for r in shards.collect()]
+    assert len(held) >= 5 and max(held) < 300 and sum(held) == 600
+    got = sorted(token_ids.read(uri, shards).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+
+
 def test_code_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
