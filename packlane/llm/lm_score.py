@@ -6,8 +6,10 @@ contexts before a text's start hold a start mark. The trie is a table of
 integer codes (9 bits a symbol), counted over all training texts and never
 held by one process:
 
-1. Documents are dealt into blocks by hash, each of a bounded number of bytes.
-   A block lists its distinct grams and words, with counts of training texts.
+1. Rows are numbered in a written table and dealt into blocks by a hash of
+   their number, each of a bounded number of bytes, so that repeated rows are
+   dealt as well as others. A block has a partition of its own, or shares it
+   with few others. It lists its distinct grams and words, with counts of training texts.
 2. Grams are summed over blocks; suffixes give the counts of shorter contexts.
    A gram seen in training has its probability at once. For the others, joins
    walk down the trie: a context escapes with the weight of its distinct
@@ -34,7 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -226,21 +228,25 @@ def score(docs: DataFrame, aside: tuple[int, int] = (5, 1), order: int = ORDER,
     given = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size, rows = given.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = max(1, -(-((size or 0) + 8 * rows) // block))
-    dealt = given.select("doc_id", "text", (common.id_crc("doc_id") % aside[0] == aside[1]).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    numbered = common.table(given.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    dealt = numbered.select("doc_id", "text", (common.id_crc("doc_id") % aside[0] == aside[1]).alias("held_out"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block"))
+    dealt = dealt.repartition(n, "block")
     needs = common.table(dealt.groupBy("block").applyInArrow(_needs(order), NEEDS), "lm-needs")
 
     counts = common.table(needs.where(F.col("kind") == GRAM).groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
     logs = gram_logs(counts, order)
-    of_gram = needs.where(F.col("kind") == GRAM).select("block", "kind", "idx", "gram").join(logs, "gram").select("block", "kind", "idx", "value", F.lit(False).alias("first"))
-    same = Window.partitionBy("word")
-    of_word = needs.where(F.col("kind") == WORD).select("block", "kind", "idx", F.sum("n").over(same).cast("double").alias("value"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    of_gram = needs.where(F.col("kind") == GRAM).select("block", "kind", "idx", "gram").join(logs, "gram").select("block", "kind", "idx", "value")
+    # a word is summed with partial aggregation; every block that has it gets the sum by a join
+    listed = needs.where(F.col("kind") == WORD)
+    known = common.table(listed.groupBy("word").agg(F.sum("n").alias("total")), "lm-words")
+    of_word = listed.select("block", "kind", "idx", "word").join(known, "word").select("block", "kind", "idx", F.col("total").cast("double").alias("value"))
     values = common.table(of_gram.unionByName(of_word), "lm-values")
 
-    words, vocabulary = values.where((F.col("kind") == WORD) & F.col("first") & (F.col("value") > 0)).agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count("*")).first()
+    words, vocabulary = known.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     texts = needs.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total = words + texts
     run = _score(order, total, vocabulary + (texts > 0), texts)
-    scored = dealt.groupBy("block").cogroup(values.select("block", "kind", "idx", "value").groupBy("block")).applyInArrow(run, OUT)
+    scored = dealt.groupBy("block").cogroup(values.repartition(n, "block").groupBy("block")).applyInArrow(run, OUT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
