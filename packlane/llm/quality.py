@@ -132,7 +132,9 @@ def context_sums(batch: list[bytes], reader: Reader) -> np.ndarray:
             same = np.flatnonzero(doc[k:] == doc[:-k])
             for a, b in ((same, same + k), (same + k, same)):
                 pair, n = np.unique(ids[a].astype(np.int64) * TABLE + ids[b], return_counts=True)
-                np.add.at(out, pair // TABLE, index[pair % TABLE] * n[:, None])
+                if len(pair):  # pairs are sorted, so those of a row stand together
+                    row, first = np.unique(pair // TABLE, return_index=True)
+                    out[row] += np.add.reduceat(index[pair % TABLE] * n[:, None], first, axis=0)
     return out
 
 
@@ -204,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, aside: tuple
     rows = common.table(rows.repartition(FITTERS), "quality-sample")
     # a table of fixed size from each of a fixed number of tasks
     sums = np.zeros((TABLE, WIDTH), np.int64)
-    for r in rows.select("text").repartition(FITTERS).mapInArrow(_sums, "sums binary").toLocalIterator():
+    for r in rows.select("text").repartition(FITTERS).mapInArrow(_sums, "sums binary").collect():
         sums += np.frombuffer(bytes(r.sums), np.int32).reshape(TABLE, WIDTH)
     vectors = unit_vectors(sums)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -216,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, aside: tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     # numbers of fixed width for each row of the sample, no texts
-    found = [(r.doc_id, int(r.quality), bytes(r.x)) for r in rows.mapInArrow(features, "doc_id long, quality int, x binary").toLocalIterator()]
+    found = [(r.doc_id, int(r.quality), bytes(r.x)) for r in rows.mapInArrow(features, "doc_id long, quality int, x binary").collect()]
     found.sort(key=lambda r: (common.id_crc_py(r[0]), r))
     x = np.frombuffer(b"".join(r[2] for r in found), np.float32).reshape(-1, WIDTH + SIGNS)
     return fit_features(x, np.array([r[1] for r in found]), vectors)
@@ -225,8 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, aside: tuple
 def _sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader, total = Reader(), np.zeros((TABLE, WIDTH), np.int64)
     for batch in common.batches(rows):
-        for i in range(0, batch.num_rows, 50):
-            total += context_sums(common.texts(batch.column(0).slice(i, 50)), reader)
+        for i in range(0, batch.num_rows, 200):
+            total += context_sums(common.texts(batch.column(0).slice(i, 200)), reader)
     yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary())], ["sums"])
 
 
