@@ -1,14 +1,15 @@
 r"""Exact dedup with an extendible-hash index on shared files.
 
 Scan tasks normalise each text (every ``[\x20\x09-\x0D]+`` becomes one space),
-fold equal texts within a bounded window into one entry. Entries of all windows
-are folded by key and SHA-256 with partial aggregation, before any bytes move:
-one entry of each text carries its bytes to an owner task, by key range (the
-top bits of the key). An owner inserts its entries into an extendible-hash index: a directory that doubles and buckets
+fold equal texts within a bounded window into one entry, and hand entries to
+owner tasks by key range (the top bits of the key). An owner inserts its
+entries into an extendible-hash index: a directory that doubles and buckets
 that split when overfull; entries of one key are chained and told apart by
 their bytes. It writes the index in the shared folder and answers from the
-file that it wrote. A group that holds a third of all rows reaches its owner as
-one entry, and its members find the answer by entry, not by key.
+file that it wrote. A text of more than WINDOWS windows, found by key and
+SHA-256 with partial aggregation, sends the bytes of one entry for all of them,
+so that a group that holds a third of all rows reaches its owner as a few
+entries; members find the answer by entry, not by key.
 
 Cases: a null text counts as empty, and empty texts are equal to each other; a
 null doc_id sorts last, so it is kept only in a group that has no other; rows
@@ -36,7 +37,9 @@ BUCKET = 64
 #: Normalised bytes that one owner should hold.
 OWNER_BYTES = 8 << 20
 #: Normalised bytes of the owners that share a partition.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
+#: Windows of which each may send its entry of a text to the owner.
+WINDOWS = 16
 #: A directory doubles so often at most; a bucket that is still overfull then stays so (keys are hashes: it takes very many equal heads).
 DEEPEST = 20
 SLOT = struct.Struct("<Qqqqq")  # key, record, chain, keep, rows
@@ -233,20 +236,30 @@ def exact_dedup(docs: DataFrame, hash_key: Callable[[bytes], int] | None = None)
     hash_key = hash_key or (lambda t: key_of(hashlib.sha256(t).digest()))
     rows = common.table(common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fold(hash_key), ROWS), "dedup-entries")
     entries = rows.where(F.col("key").isNotNull())
-    # the first document of all windows, the entry that has it, and the entry that carries the bytes
+    # of a text of many windows: the first document of all, the entry that has it, and the entry that carries the bytes
     first = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "entry")
-    folded = entries.groupBy("key", "sha").agg(F.min(first).alias("first"), F.sum("rows").alias("rows"), F.min("entry").alias("entry"), F.max(F.octet_length("text")).alias("size"))
-    folded = common.table(folded.select("key", "sha", F.nullif("first.id", F.lit(NO_ID)).alias("doc_id"), F.col("first.entry").alias("leader"), "rows", "entry", "size"), "dedup-folded")
-    size = folded.agg(F.sum(F.col("size") + 100)).first()[0] or 0
+    hot = entries.groupBy("key", "sha").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.sum("rows").alias("all_rows"), F.min("entry").alias("carrier")).where(F.col("n") > WINDOWS)
+    hot = common.table(hot.select("sha", F.nullif("first.id", F.lit(NO_ID)).alias("first_id"), F.col("first.entry").alias("leader"), "all_rows", "carrier"), "dedup-hot")
+    marked = common.join_small(entries, hot, "sha")
+    alone = F.col("carrier").isNull()
+    size = entries.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0
     bits = max(2, min(30, (size // OWNER_BYTES).bit_length() + 1))
-    carried = entries.select(F.col("entry").alias("carrier"), "text").join(folded, F.col("carrier") == F.col("entry"))
-    owned = carried.select("entry", "leader", "doc_id", "key", "rows", "sha", "text", F.shiftrightunsigned("key", 64 - bits).alias("owner"))
+    owned = marked.where(alone | (F.col("entry") == F.col("carrier"))).select(
+        "entry",
+        F.coalesce("leader", "entry").alias("leader"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("doc_id"),
+        "key",
+        F.coalesce("all_rows", "rows").alias("rows"),
+        "sha",
+        "text",
+        F.shiftrightunsigned("key", 64 - bits).alias("owner"),
+    )
     owned = owned.repartition(max(1, min(1 << bits, size // PART_BYTES + 4)), "owner")
-    found = owned.groupBy("owner").applyInArrow(_own(common.shared_dir(spark, "dedup-index"), bits), FOUND)
-    # what was found for the carrier holds for the entries of all windows
-    same = folded.select("key", "sha", F.col("entry").alias("carrier"))
-    answers = found.join(same, found["entry"] == same["carrier"]).drop("entry", "carrier")
-    found = entries.select("entry", "key", "sha").join(answers, ["key", "sha"]).drop("key", "sha")
+    found = common.table(owned.groupBy("owner").applyInArrow(_own(common.shared_dir(spark, "dedup-index"), bits), FOUND), "dedup-found")
+    # what was found for a carrier holds for the entries of the other windows
+    others = marked.where(F.col("entry") != F.col("carrier")).select(F.col("entry").alias("other"), "carrier")
+    answers = others.join(found, others["carrier"] == found["entry"]).select(F.col("other").alias("entry"), *[c for c in found.columns if c != "entry"])
+    found = found.unionByName(answers)
     members = rows.where(F.col("key").isNull()).select("entry", "doc_id", "lead")
     return members.join(found, "entry").select("doc_id", "keep_id", "group_size", (F.col("lead") & (F.col("entry") == F.col("keep_entry"))).alias("kept"), "text_sha256")
 

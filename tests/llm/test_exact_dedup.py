@@ -32,9 +32,11 @@ def by_hand(rows):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("windows", [1, 16])
 @pytest.mark.parametrize("key", [None, lambda t: 7, lambda t: len(t) << 60 & 0xFFFFFFFFFFFFFFFF | len(t)])
-def test_equals_brute_force(spark, monkeypatch, key):
+def test_equals_brute_force(spark, monkeypatch, key, windows):
     monkeypatch.setattr(ed, "WINDOW_ROWS", 50)
+    monkeypatch.setattr(ed, "WINDOWS", windows)
     monkeypatch.setattr(ed, "OWNER_BYTES", 2000)
     df = spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id long, text string, rows int").repartition(3)
     assert sorted(map(tuple, ed.exact_dedup(df, key).collect()), key=repr) == by_hand(ROWS)
