@@ -31,6 +31,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -228,6 +229,7 @@ def score(docs: DataFrame, aside: tuple[int, int] = (5, 1), order: int = ORDER,
     given = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size, rows = given.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = max(1, -(-((size or 0) + 8 * rows) // block))
+    held = common.made()
     numbered = common.table(given.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     dealt = numbered.select("doc_id", "text", (common.id_crc("doc_id") % aside[0] == aside[1]).alias("held_out"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block"))
     dealt = dealt.repartition(n, "block")
@@ -245,6 +247,8 @@ def score(docs: DataFrame, aside: tuple[int, int] = (5, 1), order: int = ORDER,
     words, vocabulary = known.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     texts = needs.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total = words + texts
+    # only the rows and the values are read from here on
+    common.release([x for x in common.made() if x not in held and not re.search("/lm-(rows|values)-[0-9a-f]+$", x[1])])
     run = _score(order, total, vocabulary + (texts > 0), texts)
     scored = dealt.groupBy("block").cogroup(values.repartition(n, "block").groupBy("block")).applyInArrow(run, OUT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
