@@ -27,6 +27,7 @@ null doc_id is reported as null. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +42,11 @@ from .license_scan import tokens
 #: 1 counts, 0 is ignored; each of weight 5, so that a copy with a word in five substituted is still met.
 MASKS = ("1101011", "11000111", "1010010011")
 SIMILAR, LONG = 0.8, 13
+#: The offsets that count under each mask, and an odd factor for each offset.
+SHAPES = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
+FACTORS = common.mix64(np.arange(1, 4 * LONG + 1)) | np.uint64(1)
+#: Places that are hashed at once, and words of documents that share a pass of hashing.
+CHUNK, GROUP = 1 << 14, 1 << 16
 #: Words of the items that are broadcast at once.
 BLOCK_WORDS = 500_000
 
@@ -51,27 +57,32 @@ def hash_words(text: bytes, word_hash: common.WordHash) -> np.ndarray:
     return word_hash(tokens(text))
 
 
-def seeds(h: np.ndarray) -> list[np.ndarray]:
-    """Hashes under each mask at each place."""
+def hashes(h: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """For each shape, the hash at each place where it fits of the words at its offsets.
+
+    A sum of word hashes, each times a factor of its offset: the products are shared by all shapes.
+    """
+    held: dict[int, np.ndarray] = {}
     out = []
-    for m, pattern in enumerate(MASKS):
-        n = len(h) - len(pattern) + 1
-        acc = np.full(max(0, n), m + 1, np.uint64)
-        for i, c in enumerate(pattern):
-            if c == "1" and n > 0:
-                acc = common.mix64((acc + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) ^ h[i : i + n])
+    for shape in shapes:
+        n = max(0, len(h) - shape[-1])
+        acc = np.full(n, common.mix64(np.array([sum(1 << i for i in shape)], np.uint64))[0], np.uint64)
+        for i in shape:
+            if i not in held:
+                held[i] = h * FACTORS[i]
+            acc += held[i][i : i + n]
         out.append(acc)
     return out
 
 
+def seeds(h: np.ndarray) -> list[np.ndarray]:
+    """Hashes under each mask at each place."""
+    return hashes(h, SHAPES)
+
+
 def runs(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words."""
-    n = len(h) - k + 1
-    acc = np.full(max(0, n), 1000 + k, np.uint64)
-    for i in range(k):
-        if n > 0:
-            acc = common.mix64((acc + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) ^ h[i : i + n])
-    return acc
+    return hashes(h, [tuple(range(k))])[0]
 
 
 #: The score of a substituted word, at which a segment is not below 0 if SIMILAR of its words are equal.
@@ -135,30 +146,57 @@ class Items:
         self.keys = self.keys[order]
         self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
-        # a filter of 64 Ki bits before the search
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.keys >> np.uint64(48)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal) of every hit of a document."""
-        found: set[tuple[int, int]] = set()
-        for s in [*seeds(h), *(runs(h, k) for k in sorted(self.runs))]:
-            at = np.flatnonzero(self.filter[(s >> np.uint64(48)).astype(np.int64)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                found.update((i, p - q) for i, q in zip(self.item[a:b].tolist(), self.place[a:b].tolist()))
+        # a filter of 16 to 32 entries a key before the search
+        bits = max(16, (16 * len(self.keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[(self.keys >> self.shift).astype(np.int64)] = True
+        self.shapes = [*SHAPES, *(tuple(range(k)) for k in sorted(self.runs))]
+
+    def _met(self, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(place, words that the shape spans, first and last of the keys) of every place whose hash is a key."""
+        longest = max(s[-1] for s in self.shapes)
+        for start in range(0, len(h), CHUNK):
+            for shape, s in zip(self.shapes, hashes(h[start : start + CHUNK + longest], self.shapes)):
+                s = s[:CHUNK]
+                at = np.flatnonzero(self.filter[(s >> self.shift).astype(np.int64)])
+                if not len(at):
+                    continue
+                lo, hi = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
+                for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                    yield start + p, shape[-1] + 1, a, b
+
+    def hits(self, docs: list[np.ndarray]) -> list[set[tuple[int, int]]]:
+        """(item, diagonal) of every hit of each document; a hit across two documents is none."""
+        found: list[set[tuple[int, int]]] = [set() for _ in docs]
+        starts = [0, *np.cumsum([len(h) for h in docs]).tolist()]
+        for p, n, a, b in self._met(np.concatenate(docs) if len(docs) != 1 else docs[0]) if docs else ():
+            d = bisect_right(starts, p) - 1
+            if p + n <= starts[d + 1]:
+                found[d].update((i, p - starts[d] - q) for i, q in zip(self.item[a:b].tolist(), self.place[a:b].tolist()))
         return found
 
     def leaks(self, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """The best leak of each item: (item, start, start in the item, length, matched)."""
+        return self._best(h, self.hits([h])[0])
+
+    def _best(self, h: np.ndarray, hits: set[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
         best: dict[int, tuple] = {}
-        for i, diagonal in sorted(self.hits(h)):
+        for i, diagonal in sorted(hits):
             if (v := verify(h, self.words[i], diagonal)) and (i not in best or v[3] > best[i][3]):
                 best[i] = v
         return [(i, *v) for i, v in sorted(best.items())]
 
+    def leaks_of(self, texts: list[bytes], word_hash: common.WordHash) -> Iterator[list[tuple[int, int, int, int, int]]]:
+        """leaks of each text; texts of GROUP words or less are hashed together, whatever their borders."""
+        group, held = [], 0
+        for i, text in enumerate(texts):
+            group.append(hash_words(text, word_hash))
+            held += len(group[-1])
+            if held >= GROUP or i + 1 == len(texts):
+                yield from (self._best(h, hits) for h, hits in zip(group, self.hits(group)))
+                group, held = [], 0
+
 
 def load(items: DataFrame) -> Items:
     word_hash = common.WordHash()
@@ -190,8 +228,8 @@ def _leaks_of(docs: DataFrame, block: DataFrame) -> DataFrame:
         index, word_hash = held.value, common.WordHash()
         for batch in common.batches(rows):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(doc_id, index.ids[i], a, q, n, m, len(index.words[i])) for i, a, q, n, m in index.leaks(hash_words(text, word_hash))]
+            for doc_id, found in zip(batch.column(0).to_pylist(), index.leaks_of(common.texts(batch.column(1)), word_hash)):
+                out += [(doc_id, index.ids[i], a, q, n, m, len(index.words[i])) for i, a, q, n, m in found]
             yield _rows(out)
 
     return docs.mapInArrow(run, HITS)
@@ -217,7 +255,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(rows: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index, word_hash = held.value, common.WordHash()
             for batch in common.batches(rows):
-                yield batch.filter(pa.array([not index.leaks(hash_words(t, word_hash)) for t in common.texts(batch.column(at))]))
+                yield batch.filter(pa.array([not x for x in index.leaks_of(common.texts(batch.column(at)), word_hash)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -125,3 +125,24 @@ def test_one_or_more_changed_words_of_short_items(n):
     item = [f"i{x}" for x in range(n)]
     for changed in combinations(range(n), min(n // 5, 3)):
         assert leak_of("z z " + " ".join("c" if j in changed else w for j, w in enumerate(item)) + " z", " ".join(item))
+
+
+def test_texts_hashed_together(monkeypatch):
+    """Borders of groups and chunks change nothing, and what two documents hold half each is no leak."""
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 60, n)) for n in (1, 2, 5, 13, 16, 40)]
+    docs = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 400, rng.integers(0, 90))]
+        at = int(rng.integers(0, len(words) + 1))
+        docs.append(" ".join([*words[:at], *items[int(rng.integers(len(items)))].split(), *words[at:]]).encode())
+    docs += [b"", items[4][: len(items[4]) // 2].encode(), items[4][len(items[4]) // 2 :].encode(), b""]
+    hash_ = dc.common.WordHash()
+    index = dc.Items(list(range(len(items))), [dc.hash_words(x.encode(), hash_) for x in items])
+    alone = [index.leaks(dc.hash_words(d, hash_)) for d in docs]
+    assert any(alone) and not alone[-2] + alone[-3]
+    for chunk, group in ((1, 1), (7, 50), (1 << 14, 1 << 16)):
+        monkeypatch.setattr(dc, "CHUNK", chunk)
+        monkeypatch.setattr(dc, "GROUP", group)
+        assert list(index.leaks_of(docs, hash_)) == alone
+    assert list(index.leaks_of([], hash_)) == []
