@@ -29,6 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -38,6 +39,8 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: Pieces whose ids a worker keeps; the cache is emptied beyond it.
 CACHE = 1_000_000
+#: Tokens that are counted at once, but for a longer text.
+COUNTED = 1 << 19
 #: Tokens in a block, about.
 BLOCK = 1 << 18
 #: Tokens in a shard, about.
@@ -148,17 +153,34 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
+TOKENS = "doc_id long, n_tokens long, narrow binary, wide binary, counts binary"
+
+
 def _tokenise(path: str, end: int, whole: bool) -> Callable:
+    """A row for each document, then one with how often this task's documents have each id."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get((path, whole)) or _encoders.setdefault((path, whole), Encoder(path, whole))
-        tail = struct.pack("<I", end)
+        encode = _encoders.get((path, whole))
+        if encode is None:
+            encode = _encoders[path, whole] = Encoder(path, whole)
+            gc.freeze()  # the caches hold no cycles: collections need not walk them
+        tail, names = struct.pack("<I", end), [x.split()[0] for x in TOKENS.split(", ")]
+        total = np.zeros(0, np.int64)
         for batch in common.batches(rows):
             docs, ids = batch.column(0), [np.frombuffer(encode(t) + tail, "<u4") for t in common.texts(batch.column(1))]
+            ends = np.cumsum([len(x) for x in ids]) // COUNTED
+            for _, same in groupby(zip(ends.tolist(), ids), itemgetter(0)):
+                n = np.bincount(np.concatenate([x for _, x in same]), minlength=len(total))
+                n[: len(total)] += total
+                total = n
             for i in range(0, len(ids), 100):
                 part = ids[i : i + 100]
                 narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"" for x in part]
                 wide = [b"" if n else x.tobytes() for n, x in zip(narrow, part)]
-                yield pa.RecordBatch.from_arrays([docs.slice(i, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n_tokens", "narrow", "wide"])
+                yield pa.RecordBatch.from_arrays([docs.slice(i, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(len(part), pa.binary())], names)
+        if len(total):
+            none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     return run
 
@@ -167,15 +189,13 @@ def _row_ids(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(n, "<u2").astype(np.uint32) if n else np.frombuffer(w, "<u4") for n, w in zip(batch.column("narrow").to_pylist(), batch.column("wide").to_pylist())]
 
 
-def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n of tasks' packed counts."""
     for batch in common.batches(rows):
-        n = np.bincount(np.concatenate(_row_ids(batch)))
-        if len(n) > len(total):
-            total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-        total[: len(n)] += n
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+        for packed in batch.column(0).to_pylist():
+            total = np.frombuffer(packed, "<i8")
+            ids = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
 
 # -- the code ---------------------------------------------------------------
@@ -283,14 +303,14 @@ def write(docs: DataFrame, tokenizer: str | None = None, end: int = END, whole_t
     """The folder of the shards of docs(doc_id, text), and a row for each shard: shard, name, docs, tokens, base."""
     spark = common.prepare(docs.sparkSession)
     given = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    encoded = given.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end, whole_texts), "doc_id long, n_tokens long, narrow binary, wide binary")
+    encoded = given.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end, whole_texts), TOKENS)
     # numbered when it is written: rows that are alike in all else are told apart
     rows = common.table(encoded.withColumn("row", F.monotonically_increasing_id()), "token-rows")
     # a row for each id of the vocabulary at most
-    ranked = rows.select("narrow", "wide").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
+    ranked = rows.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
     shards = max(1, int(ranked["n"].sum()) // SHARD)
     uri = common.shared_dir(spark, "token-ids")
-    tied = rows.withColumn("h", F.xxhash64("narrow", "wide"))
+    tied = rows.where("counts IS NULL").drop("counts").withColumn("h", F.xxhash64("narrow", "wide"))
     order = ("doc_id", "n_tokens", "h", "row")
     ordered = tied.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = common.table(ordered.mapInArrow(_write(uri, ranked["id"].to_numpy(np.uint32)), "shard long, name string, docs long, tokens long"), "token-shards")

@@ -74,3 +74,20 @@ def test_operator_equals_plain_encoding(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_ids.read(*token_ids.write(df)).count() == 0
+
+
+def test_ranks_follow_all_counts(spark, monkeypatch):
+    """Every task's counts reach the ranks: the ids of a shard's head are by frequency over all documents."""
+    texts = ["the cat the cat the", None, "", "the dog", "zebra " * 50, "dog dog"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    uri, shards = token_ids.write(docs)
+    where, path = token_ids.common.open_fs(uri)
+    name = shards.first()["name"]
+    with where.open_input_stream(f"{path}/{name}") as f:
+        _, _, n = token_ids.struct.unpack("<4sII", f.read(12))
+        ranks = np.frombuffer(f.read(4 * n), "<u4").tolist()
+    seen = {}
+    for t in texts:
+        for x in [*Tokenizer.from_file(token_ids.default_tokenizer()).encode(t or "", add_special_tokens=False).ids, token_ids.END]:
+            seen[x] = seen.get(x, 0) + 1
+    assert ranks == sorted(seen, key=lambda x: (-seen[x], x))
