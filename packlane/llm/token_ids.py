@@ -121,7 +121,7 @@ class Encoder:
         about = json.loads(self.tokenizer.to_str())
         known = all(about[k] == v for k, v in RULES.items()) and all(t["content"].startswith("<|") for t in about["added_tokens"])
         self.whole = whole_texts or not known
-        self.model, self.pieces, self.cores = self.tokenizer.model, Cache(self._piece), Cache(self._core)
+        self.model, self.pieces = self.tokenizer.model, Cache(self._piece)
         self.letters = _byte_letters()
 
     def _ids(self, text: str) -> list[int]:
@@ -132,16 +132,23 @@ class Encoder:
         return _packed([t.id for t in self.model.tokenize(core)])
 
     def _piece(self, raw: bytes) -> bytes:
-        """Plain words go straight to the model; what the normaliser or the splitter could treat otherwise goes through all of the tokenizer."""
+        """Plain words go straight to the model; what the normaliser or the splitter could treat otherwise goes through all of the tokenizer.
+
+        A piece of more than one pre-token, or in capitals, is made of plain pieces in the same cache.
+        """
         text = raw.decode()
         if text.isascii():
             if "'" not in text and "<|" not in text and _PLAIN.fullmatch(text):
-                return b"".join(map(self.cores.__getitem__, _ASCII.findall(text.lower())))
+                parts = _ASCII.findall(text.lower())
+                return self._core(text) if parts == [text] else b"".join([self.pieces[x.encode()] for x in parts])
         else:
             word = text.rstrip(SIGNS)
             if word.isalpha() and max(word) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word):
-                ids = self.cores["".join(map(self.letters.__getitem__, word.lower().encode()))]
-                return ids + self.cores[text[len(word) :]] if len(word) < len(text) else ids
+                lower = word.lower()
+                if lower == text:
+                    return self._core("".join(map(self.letters.__getitem__, raw)))
+                ids = self.pieces[lower.encode()]
+                return ids + self.pieces[text[len(word) :].encode()] if len(word) < len(text) else ids
         return _packed(self._ids(text))
 
     def __call__(self, text: bytes) -> bytes:
