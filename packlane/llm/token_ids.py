@@ -29,7 +29,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -160,6 +159,11 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
+def _encoder(path: str, whole: bool) -> Encoder:
+    """One for each worker process: a module's function is sent by name, and finds the dict of the worker's own module."""
+    return _encoders.get((path, whole)) or _encoders.setdefault((path, whole), Encoder(path, whole))
+
+
 TOKENS = "doc_id long, n_tokens long, narrow binary, wide binary, counts binary"
 
 
@@ -167,10 +171,7 @@ def _tokenise(path: str, end: int, whole: bool) -> Callable:
     """A row for each document, then one with how often this task's documents have each id."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get((path, whole))
-        if encode is None:
-            encode = _encoders[path, whole] = Encoder(path, whole)
-            gc.freeze()  # the caches hold no cycles: collections need not walk them
+        encode = _encoder(path, whole)
         tail, names = struct.pack("<I", end), [x.split()[0] for x in TOKENS.split(", ")]
         total = np.zeros(0, np.int64)
         for batch in common.batches(rows):
