@@ -8,8 +8,9 @@ held by one process:
 
 1. Rows are numbered in a written table and dealt into blocks by a hash of
    their number, each of a bounded number of bytes, so that repeated rows are
-   dealt as well as others. A block has a partition of its own, or shares it
-   with few others. It lists its distinct grams and words, with counts of training texts.
+   dealt as well as others. A block has a partition of its own, and there are
+   as many as the data need, whatever the session's setting. It lists its
+   distinct grams and words, with counts of training texts.
 2. Grams are summed over blocks; suffixes give the counts of shorter contexts.
    A gram seen in training has its probability at once. For the others, joins
    walk down the trie: a context escapes with the weight of its distinct
@@ -232,12 +233,12 @@ def score(docs: DataFrame, aside: tuple[int, int] = (5, 1), order: int = ORDER,
     held = common.made()
     numbered = common.table(given.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     dealt = numbered.select("doc_id", "text", (common.id_crc("doc_id") % aside[0] == aside[1]).alias("held_out"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block"))
-    dealt = dealt.repartition(n, "block")
+    dealt = dealt.repartitionById(n, F.col("block"))  # by hash, blocks would meet in some partitions
     needs = common.table(dealt.groupBy("block").applyInArrow(_needs(order), NEEDS), "lm-needs")
 
     counts = common.table(needs.where(F.col("kind") == GRAM).groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
     logs = gram_logs(counts, order)
-    of_gram = needs.where(F.col("kind") == GRAM).select("block", "kind", "idx", "gram").join(logs, "gram").select("block", "kind", "idx", "value")
+    of_gram = needs.where(F.col("kind") == GRAM).select("block", "kind", "idx", "gram").repartition(n, "gram").join(logs, "gram").select("block", "kind", "idx", "value")
     # a word is summed with partial aggregation; every block that has it gets the sum by a join
     listed = needs.where(F.col("kind") == WORD)
     known = common.table(listed.groupBy("word").agg(F.sum("n").alias("total")), "lm-words")
@@ -250,7 +251,7 @@ def score(docs: DataFrame, aside: tuple[int, int] = (5, 1), order: int = ORDER,
     # only the rows and the values are read from here on
     common.release([x for x in common.made() if x not in held and not re.search("/lm-(rows|values)-[0-9a-f]+$", x[1])])
     run = _score(order, total, vocabulary + (texts > 0), texts)
-    scored = dealt.groupBy("block").cogroup(values.repartition(n, "block").groupBy("block")).applyInArrow(run, OUT)
+    scored = dealt.groupBy("block").cogroup(values.repartitionById(n, F.col("block")).groupBy("block")).applyInArrow(run, OUT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
