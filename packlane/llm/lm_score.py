@@ -107,6 +107,45 @@ def distinct(batch: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return every, np.bincount(at, np.concatenate([n for _, n in parts]), len(every)).astype(np.int64)
 
 
+class Finder:
+    """Values of grams by open addressing in a table at most half full; grams are distinct."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
+        self.bits = len(grams).bit_length() + 1
+        place = np.full(1 << self.bits, -1, np.int64)
+        left, at = np.arange(len(grams)), self._home(grams)
+        while len(left):
+            free = place[at] < 0
+            place[at[free]] = left[free]
+            lost = place[at] != left
+            left, at = left[lost], at[lost] + 1 & len(place) - 1
+        held = place >= 0
+        self.keys, self.values = np.full(len(place), -1, np.int64), np.zeros(len(place))
+        self.keys[held], self.values[held] = grams[place[held]], values[place[held]]
+
+    def _home(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        at = self._home(grams)
+        left = np.flatnonzero(self.keys[at] != grams)
+        while len(left):
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            keys = self.keys[at[left]]
+            if (keys < 0).any():
+                raise KeyError("a gram of the block has no value")
+            left = left[keys != grams[left]]
+        return self.values[at]
+
+
+def _keys(batch: list[bytes], order: int) -> tuple[np.ndarray, list[bytes]]:
+    """Sorted grams and words of a block, the same as _list's."""
+    known: set[bytes] = set()
+    for t in batch:
+        known.update(common.words(t))
+    return distinct(batch, order)[0], sorted(known)
+
+
 def _list(batch: list[bytes], held: list[bool], order: int) -> tuple[np.ndarray, np.ndarray, list[bytes], Counter]:
     """Sorted grams and words of a block, with their training counts."""
     train, aside = [t for t, h in zip(batch, held) if not h], [t for t, h in zip(batch, held) if h]
@@ -153,24 +192,24 @@ def _score(order: int, total: int, vocabulary: int, texts: int) -> Callable[[pa.
 
     def run(group: pa.Table, values: pa.Table) -> pa.Table:
         batch, held = _columns(group)
-        grams, _, words, _ = _list(batch, held, order)
+        grams, words = _keys(batch, order)
         kind, idx, value = (values[c].to_numpy() for c in ("kind", "idx", "value"))
         logs, counts = np.empty(len(grams)), np.empty(len(words))
         logs[idx[kind == GRAM]] = value[kind == GRAM]
         counts[idx[kind == WORD]] = value[kind == WORD]
-        scores = np.zeros(len(batch))
+        scores, find = np.zeros(len(batch)), Finder(grams, logs)
         for c, starts, first in codes(batch, order):
-            scores[first : first + len(starts)] += np.add.reduceat(logs[np.searchsorted(grams, c)], starts)
-        if below:
-            base_of = dict(zip(words, np.log10((counts + 0.5) / below).tolist()))
-            end = float(np.log10((texts + 0.5) / below))
-        known = {w for w, c in zip(words, counts) if c > 0}
+            scores[first : first + len(starts)] += np.add.reduceat(find(c), starts)
+        # a word that training has weighs more than one that it has not, so one lookup serves both columns
+        rare, end = (float(np.log10((c + 0.5) / below)) if below else 0.0 for c in (0, texts))
+        base_of = dict(zip(words, np.log10((counts + 0.5) / below).tolist())) if below else dict.fromkeys(words, 0.0)
         n_tokens, n_known, base = [], [], []
         for t in batch:
             w = common.words(t)
+            logs = np.fromiter(map(base_of.__getitem__, w), np.float64, len(w))
             n_tokens.append(len(w) + 1)
-            n_known.append(sum(map(known.__contains__, w)) + (texts > 0))
-            base.append(sum(map(base_of.__getitem__, w)) + end)
+            n_known.append(int(np.count_nonzero(logs > rare)) + (texts > 0))
+            base.append(float(logs.sum()) + end)
         return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores)})
 
     return run

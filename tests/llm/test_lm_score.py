@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from packlane.llm import common, lm_score
 
@@ -54,6 +55,17 @@ def test_equals_brute_force(spark, monkeypatch, order, block, piece):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_finder_equals_binary_search(n):
+    draw = np.random.default_rng(n)
+    grams = np.unique(np.concatenate([draw.integers(0, 1 << 45, n), np.arange(n) << 36]))[:n]
+    values, asked = draw.random(n), draw.integers(0, max(n, 1), 3 * n)
+    find = lm_score.Finder(grams, values)
+    assert np.array_equal(find(grams[asked]), values[asked])
+    with pytest.raises(KeyError):
+        find(np.array([1 << 44 | 1]))
+
+
 def test_without_training_rows(spark):
     held = [i for i in range(60) if common.id_crc_py(i) % 5 == 1][:2]
     got = lm_score.score(spark.createDataFrame([(held[0], "ab"), (held[1], None)], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -72,6 +84,7 @@ def test_repeated_rows_are_dealt_over_blocks(spark, monkeypatch):
     def table(df, name):
         out = whole(df, name)
         if name == "lm-needs":
+            assert "shufflepartitionidpassthrough" in df._jdf.queryExecution().executedPlan().toString()
             words.extend(r["count"] for r in out.where(f"kind = {lm_score.WORD}").groupBy("block").count().collect())
         return out
 
