@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns a DataFrame that is written as Parquet and reread as the next
 one's docs. All but the last return the columns of documents. When a stage
 begins, what the one before it left in the shared folder is removed: its result
-has been written by then.
+has been written by then. Native memory that the driver's JVM has freed but kept
+goes back to the system.
 """
 
 from __future__ import annotations
@@ -52,11 +53,12 @@ _before: list = []
 
 
 def _tidy(stage: Stage) -> Stage:
-    """The stage, after the tables of the one before it are removed; the first one leaves an earlier run's alone."""
+    """The stage, after the tables of the one before it are removed and the driver's memory is trimmed; the first one leaves an earlier run's tables alone."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if stage is not good:
             common.release(_before)
+        common.trim(spark)
         held = common.made()
         out = stage(spark, docs, sf_dir)
         _before[:] = [x for x in common.made() if x not in held]

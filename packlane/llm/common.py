@@ -76,6 +76,23 @@ def release(only: list[tuple[SparkSession, str]] | None = None) -> None:
 atexit.register(release)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Have the driver's JVM give freed native memory back to the system, which threads' malloc arenas keep otherwise; False where it can't."""
+    try:
+        sc = spark.sparkContext
+        java, gateway = sc._jvm.java.lang, sc._gateway
+        named = [java.Class.forName(k) for k in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        kinds, values = gateway.new_array(java.Class, 4), gateway.new_array(java.Object, 4)
+        for i, k in enumerate(named):
+            kinds[i] = k
+        values[0], values[1] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface's method: the server's own class is not open
+        java.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(java.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Exception:  # other JVMs, or JDK 17 before 17.0.9
+        return False
+    return True
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and reread: cuts lineage and outlives executors."""
     spark = df.sparkSession

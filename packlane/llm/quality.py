@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,10 +205,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, aside: tuple
     # the sample bounds this side
     rows = common.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.col("quality").cast("int"))
     rows = common.table(rows.repartition(FITTERS), "quality-sample")
-    # a table of fixed size from each of a fixed number of tasks
-    sums = np.zeros((TABLE, WIDTH), np.int64)
-    for r in rows.select("text").repartition(FITTERS).mapInArrow(_sums, "sums binary").collect():
-        sums += np.frombuffer(bytes(r.sums), np.int32).reshape(TABLE, WIDTH)
+    # a table of fixed size from each of a fixed number of tasks, by files: rows of it would take the driver's heap several times over
+    uri = common.shared_dir(docs.sparkSession, "quality-sums")
+    sums, (where, path) = np.zeros((TABLE, WIDTH), np.int64), common.open_fs(uri)
+    for r in rows.select("text").repartition(FITTERS).mapInArrow(_sums(uri), "name string").collect():
+        with where.open_input_stream(f"{path}/{r.name}", compression=None) as f:
+            sums += np.frombuffer(f.read(), "<i4").reshape(TABLE, WIDTH)
     vectors = unit_vectors(sums)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -224,12 +227,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, aside: tuple
     return fit_features(x, np.array([r[1] for r in found]), vectors)
 
 
-def _sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader, total = Reader(), np.zeros((TABLE, WIDTH), np.int64)
-    for batch in common.batches(rows):
-        for i in range(0, batch.num_rows, 200):
-            total += context_sums(common.texts(batch.column(0).slice(i, 200)), reader)
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary())], ["sums"])
+def _sums(uri: str) -> Callable:
+    """Writes a file of the sums of each task's texts, and gives its name."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, total = Reader(), np.zeros((TABLE, WIDTH), np.int64)
+        for batch in common.batches(rows):
+            for i in range(0, batch.num_rows, 200):
+                total += context_sums(common.texts(batch.column(0).slice(i, 200)), reader)
+        task = TaskContext.get()
+        name = f"sums-{task.partitionId():06d}"
+        common.put_file(uri, name, str(task.taskAttemptId()), lambda out: out.write(total.astype("<i4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    return run
 
 
 def scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:

@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from packlane.llm import mixing, quality, token_ids
+from packlane.llm import common, mixing, quality, token_ids
 from tokenizers import Tokenizer
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,3 +95,16 @@ def test_stages(spark, tables):
 
     whole = sorted(map(repr, (tuple(r) for r in corpus_pipeline.run(spark, path).collect())))
     assert whole == sorted(map(repr, ids))
+
+
+def test_driver_memory_is_trimmed(spark, tables, monkeypatch):
+    assert common.trim(spark)
+    seen = []
+    monkeypatch.setattr(common, "trim", lambda s: seen.append(s))
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    dict(corpus_pipeline.STAGES)["decontaminate"](spark, docs, tables[0])
+    assert seen == [spark]
+
+
+def test_trim_is_optional():
+    assert common.trim(None) is False

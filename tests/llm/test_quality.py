@@ -88,3 +88,21 @@ def test_calibration_lowers_log_loss():
         return np.logaddexp(0, -np.where(y == 1, z, -z)).mean()
 
     assert loss(model.temperature) <= loss(1.0) + 1e-3
+
+
+def test_tables_do_not_pass_the_drivers_heap(spark, monkeypatch):
+    given = rows(60)
+    docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(given)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, (*_, q) in enumerate(given)], "doc_id long, quality int")
+    sizes, collect = [], type(docs).collect
+
+    def counted(self):
+        out = collect(self)
+        sizes.append(sum(len(x) for r in out for x in r if isinstance(x, (bytes, bytearray, str))))
+        return out
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    model = quality.learn(docs, labels, aside=(1, 1))
+    assert sizes and max(sizes) < 1_000_000
+    want = quality.word_vectors([t.encode() for _, t, _ in given], quality.Reader())
+    assert np.array_equal(model.vectors, want)
